@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality_rules
 
 
 def queries() -> dict:
-    return {"op9_mixing": mixing.op9_mixing}
+    return {"op6_quality_rules": quality_rules.op6_quality_rules, "op9_mixing": mixing.op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op6_quality_rules": quality_rules.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
