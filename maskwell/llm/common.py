@@ -61,3 +61,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, although ``body`` may use it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def map_slices(df: DataFrame, function, schema: str, rows: int = 256) -> DataFrame:
+    """``df`` through ``function``, which gets a dict of lists (a slice of at most ``rows`` rows) and returns another.
+
+    Arrow carries the rows; only a slice at a time becomes Python objects. ``schema`` is a DDL string; the lists that
+    ``function`` returns may be of any equal length.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                out = function(batch.slice(at, rows).to_pydict())
+                if out and len(next(iter(out.values()))):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+
+    return df.mapInArrow(run, schema)

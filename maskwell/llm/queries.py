@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, tiff
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality_rules.op6_quality_rules, "op9_mixing": mixing.op9_mixing}
+    return {
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_tiff_media": tiff.op7_tiff_media,
+        "op9_mixing": mixing.op9_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.OP6_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {
+        "op6_quality_rules": quality_rules.OP6_SQL,
+        "op9_mixing": mixing.OP9_SQL,
+    }
