@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, tiff
+from . import mixing, quality_rules, secrets, tiff
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scan": secrets.op2_secret_scan,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_tiff_media": tiff.op7_tiff_media,
         "op9_mixing": mixing.op9_mixing,
