@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, secrets, tiff
+from . import mixing, packing, quality_rules, secrets, tiff, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_token_counts": tokens.op3_token_counts,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_tiff_media": tiff.op7_tiff_media,
         "op9_mixing": mixing.op9_mixing,
