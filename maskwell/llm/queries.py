@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, secrets, tiff, tokens
+from . import bloom_lm, mixing, packing, quality_rules, secrets, tiff, tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_tiff_media": tiff.op7_tiff_media,
         "op9_mixing": mixing.op9_mixing,
+        "op10_bloom_lm": bloom_lm.op10_bloom_lm,
     }
 
 
