@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, mixing, packing, quality_rules, secrets, tiff, tokens
+from . import bloom_lm, dartminhash, mixing, packing, quality_rules, secrets, tiff, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_token_counts": tokens.op3_token_counts,
+        "op5_dartminhash": dartminhash.op5_dartminhash,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_tiff_media": tiff.op7_tiff_media,
         "op9_mixing": mixing.op9_mixing,
