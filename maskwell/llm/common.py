@@ -63,16 +63,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def map_slices(df: DataFrame, function, schema: str, rows: int = 256) -> DataFrame:
+def map_slices(df: DataFrame, function, schema, rows: int = 256) -> DataFrame:
     """``df`` through ``function``, which gets a dict of lists (a slice of at most ``rows`` rows) and returns another.
 
-    Arrow carries the rows; only a slice at a time becomes Python objects. ``schema`` is a DDL string; the lists that
+    Arrow carries the rows; only a slice at a time becomes Python objects. ``schema`` is a DDL string or a StructType; the lists that
     ``function`` returns may be of any equal length.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
         import pyarrow as pa

@@ -115,7 +115,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     """
     row, keys = "__row", ["__id", "__source", "__size"]
     taken = mix(docs, weights, max_repeats, seed)
-    copies = F.col("epochs") + (2 * F.col("partial") >= F.greatest(F.col("size"), F.lit(1))).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("epochs") + (2 * F.col("partial") >= F.col("size")).cast("long")).otherwise(0)
     same = taken.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), source_key().alias("__source"), F.col("size").alias("__size")).agg(F.sum(copies).alias("__copies"), F.count(F.lit(1)).alias("__n"))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), source_key().alias("__source"), word_count().alias("__size"))
     # Few groups have more than one row; only those need a place within the group.

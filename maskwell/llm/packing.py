@@ -19,6 +19,7 @@ from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import map_slices, stage, table, text_of
 from .tokens import WORD_BPE, Coder, tokenizer_path
@@ -82,8 +83,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     if any(n is None or not 0 < n <= capacity for n in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
     by = ["length", *[f"o{k}" for k in range(len(order))]]
-    kind = plain.schema["row"].dataType.simpleString()
-    dealt = stage(plain.repartitionByRange(*by).sortWithinPartitions(*by).select("row", "length").mapInArrow(numbered(kind), f"row {kind}, length bigint, part int, at bigint"), "sorted")
+    row = StructType([plain.schema["row"]])
+    dealt = stage(plain.repartitionByRange(*by).sortWithinPartitions(*by).select("row", "length").mapInArrow(numbered(), StructType([*row, *StructType.fromDDL("length bigint, part int, at bigint")])), "sorted")
     parts = {r.part: (r.n, r.low) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("low")).collect()}  # a row a task
     starts, total = {}, 0
     for part in sorted(parts):
@@ -93,10 +94,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
         runs[size], before = before, before + counts[size]
     slots = sorted(best_fit_runs(counts, capacity))
     shared = dealt.sparkSession.sparkContext.broadcast((starts, runs, slots))
-    return dealt.mapInArrow(placed(shared, kind), f"row {kind}, sequence_id bigint, offset bigint").select("row.*", "sequence_id", "offset")
+    return dealt.mapInArrow(placed(shared), StructType([*row, *StructType.fromDDL("sequence_id bigint, offset bigint")])).select("row.*", "sequence_id", "offset")
 
 
-def numbered(kind: str):
+def numbered():
     """Number the rows of a task in the order in which they come."""
 
     def run(batches):
@@ -112,7 +113,7 @@ def numbered(kind: str):
     return run
 
 
-def placed(shared, kind: str):
+def placed(shared):
     """Find the slot of each piece: the last one that begins at or before its size and rank."""
 
     def run(batches):

@@ -237,7 +237,6 @@ def without_secrets(docs: DataFrame, limit: int = MAX_LAYER_BYTES, mask: str = "
     texts among them, stay as they are.
     """
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    kind = plain.schema["row"].dataType.simpleString()
 
     def run(rows: dict) -> dict:
         for row in rows["row"]:
@@ -254,7 +253,7 @@ def without_secrets(docs: DataFrame, limit: int = MAX_LAYER_BYTES, mask: str = "
                     row["n_chars"] = len(row["text"])
         return rows
 
-    return map_slices(plain, run, f"row {kind}").select("row.*")
+    return map_slices(plain, run, plain.schema).select("row.*")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
