@@ -6,6 +6,8 @@ by 10, the database holds the others.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,19 @@ def bounded(df: DataFrame, most: int = BATCH_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder that the session names.
+
+    Only a local master may do without ``spark.checkpoint.dir``; it then gets a temporary folder.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="maskwell-"))
+    return df.checkpoint()
+
+
 def bits(vector: str, base: int, clear: bool = False) -> Column:
     """One bit a dimension: its sign, or whether it is clear of zero."""
     x = lambda i: F.get(F.col(vector), F.lit(base + i)).cast("double")
