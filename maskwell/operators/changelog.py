@@ -341,3 +341,22 @@ def partitioned_scan(spark, sf_dir):
     o = X.table(spark, sf_dir, "orders")
     w = o.agg(F.expr("(max(o_orderkey) + 7) DIV 8").alias("w"))
     return o.crossJoin(F.broadcast(w)).groupBy(F.expr("(o_orderkey - 1) DIV w").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+
+
+@query("log_range", f"{LOG} SELECT id, request_type FROM mods WHERE id > 100 AND id <= 400")
+def log_range(spark, sf_dir):
+    """The log after one mark and up to another."""
+    return X.changes(spark, sf_dir).where("id > 100 AND id <= 400").select("id", "request_type")
+
+
+@query("recent_serials", "SELECT vec_id + 1 AS serial FROM embeddings ORDER BY serial DESC LIMIT 30")
+def recent_serials(spark, sf_dir):
+    return X.table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("serial")).orderBy(F.desc("serial")).limit(30)
+
+
+@query("deletions_list", "SELECT c_custkey AS serial FROM customer WHERE c_custkey <= 200 AND c_custkey % 9 = 4")
+def deletions_list(spark, sf_dir):
+    """Deleted serials, from a JSON object with a list, that are rows of the store."""
+    text = F.to_json(F.struct(F.filter(F.sequence(F.lit(1), F.lit(200)), lambda x: x % 9 == 4).alias("deleted_serial_ids")))
+    ids = spark.range(1).select(F.explode(F.from_json(text, "deleted_serial_ids array<bigint>")["deleted_serial_ids"]).alias("serial"))
+    return X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("serial")).join(F.broadcast(ids), "serial", "left_semi")

@@ -163,3 +163,17 @@ def request_validation(spark, sf_dir):
     own = p.join(known.select("label", (F.col("n") > 1).alias("duplicate_label")), "label")
     up = own.join(known.select(F.col("label").alias("parent"), "first"), "parent", "left")
     return up.select("req", "label", "duplicate_label", (F.col("parent").isNotNull() & F.col("first").isNull()).alias("missing_parent"), F.coalesce(F.col("first") > F.col("batch"), F.lit(False)).alias("parent_too_late"))
+
+
+@query("insertion_list", f"{WITH}, {MIRROR} SELECT req FROM requests r WHERE request_type = 'uniqueness' AND NOT EXISTS (SELECT 1 FROM wide w WHERE w.req = r.req AND close_l AND close_r) AND NOT EXISTS (SELECT 1 FROM mw WHERE mw.req = r.req)")
+def insertion_list(spark, sf_dir):
+    """Uniqueness requests that match neither as they are nor in the mirror."""
+    clear = mirror_attack(spark, sf_dir).where("normal_n = 0 AND mirror_n = 0").select("req")
+    return request_table(spark, sf_dir).where("request_type = 'uniqueness'").join(clear, "req", "left_semi").select("req")
+
+
+@query("partial_count_rule", f"{WITH}, n AS (SELECT req, count(*) FILTER (close_l) AS l, count(*) FILTER (close_r) AS r, count(*) FILTER (close_l AND close_r) AS b FROM wide GROUP BY req) SELECT req, l AS left_n, r AS right_n, b = 0 AND l <= 25 AND r <= 25 AS is_unique FROM n")
+def partial_count_rule(spark, sf_dir):
+    """Unique only without a full match and with few partial ones in either eye."""
+    rows = M.both_eyes(spark, sf_dir).groupBy("req").agg(F.count_if(M.is_close("l")).alias("left_n"), F.count_if(M.is_close("r")).alias("right_n"), F.count_if(M.is_close("l") & M.is_close("r")).alias("b"))
+    return rows.select("req", "left_n", "right_n", ((F.col("b") == 0) & (F.col("left_n") <= 25) & (F.col("right_n") <= 25)).alias("is_unique"))

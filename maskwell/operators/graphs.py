@@ -328,3 +328,10 @@ def wal_apply(spark, sf_dir):
     kind = F.when(F.col("seq_no") % 17 == 0, F.array(F.lit("remove_node"))).when(F.col("seq_no") % 11 == 0, F.array(F.lit("remove_edges"))).otherwise(F.array(F.lit("add_node"), F.lit("add_edges")))
     wal = e.withColumn("op", F.explode(kind)).select("eye", "seq_no", (F.col("seq_no") - 1).alias("as_of"), "op", "base", F.lit(0).alias("layer"), back.alias("neighbors"), F.lit("all").alias("side"))
     return apply_mutations(wal)
+
+
+@query("recency_probe", f"{WITH}, m AS (SELECT DISTINCT event_id % 1500 AS serial FROM events WHERE event_id > 900) SELECT e.layer, e.dst AS neighbour, count(*) AS n FROM edges e JOIN m ON e.src = m.serial GROUP BY ALL")
+def recency_probe(spark, sf_dir):
+    """Which nodes the recently changed ones link to, and how often."""
+    changed = X.table(spark, sf_dir, "events").where("event_id > 900").select((F.col("event_id") % 1500).alias("src")).distinct()
+    return edges(spark, sf_dir).join(changed, "src").groupBy("layer", F.col("dst").alias("neighbour")).agg(F.count(F.lit(1)).alias("n"))
