@@ -6,18 +6,22 @@ coordinates, and a signature keeps the dart of the lowest rank in each. Two sets
 to their weighted Jaccard similarity. With theta = t / total weight, t = k ln k + 2k, a set gets about t darts however
 large it is; sets with an empty coordinate throw again with theta doubled, which leaves the darts found so far in place.
 
-Signatures are cut into bands. Texts that share a band meet in a bucket, where candidates are compared exactly. Nothing
-is compared pair by pair that need not be: in a round, each bucket's leaders are compared with the others, links join
-classes, leaders leave, and buckets whose rows are all of one class are done. Small buckets compare all pairs of different
-classes at once. The number of leaders grows each round, so the rounds are few, and no pair of a bucket is left out
-unless both sides are in one class already. Links and classes stay distributed.
+Signatures are cut into bands. Texts that share a band meet in a bucket, where candidates are compared exactly. A small
+bucket compares its pairs of different classes. In a large one, all rows are compared with one leader, the text that meets
+most others, and that tells which other pairs can still be similar: sets x and y that share nothing outside the leader p
+have |x & y| <= min(|x & p|, |y & p|). So rows go on only into buckets for what they have beyond the leader (a prefix of it,
+as long as exactness needs), or, if they are nearly parts of the leader and a partner of a fitting size exists, into a bucket
+of such parts. These buckets are far smaller and are treated alike once more; the pairs that are still left are compared one
+by one. No pair of 0.8 or more that shares a band is passed over unless both
+sides are in one class already, and the rows of a group of near copies grow with its size. Links and classes stay
+distributed.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom_lm import WORDS, mixed
@@ -29,6 +33,8 @@ BANDS, BAND_ROWS = 32, 5
 COORDINATES = BANDS * BAND_ROWS
 #: A bucket of so many rows compares all its pairs of different classes.
 SMALL = 8
+#: Rounds in which large buckets compare with a leader; what these leave over compares all its pairs of different classes.
+STARS = 2
 #: Rows of two numbers that may be broadcast: about 32 MB. Larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -180,33 +186,52 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFram
     return rows.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float, weighting: str) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose exact (weighted) Jaccard similarity is at least ``similarity``."""
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float, weighting: str) -> DataFrame:
+    """For each pair ``a, b, large``: ``link`` (similar or not), ``size`` of a, ``inter`` with b, ``beyond``.
+
+    ``beyond`` is filled for large buckets: of a's shingles outside b, in hash order, a prefix so long that every set
+    similar to a that needs a shingle outside b shares one of them.
+    """
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "large", "x", "y")
+
+    def look(x: bytes, y: bytes, large: bool):
+        import math
 
-    def jaccard(x: bytes, y: bytes) -> float:
         import numpy as np
 
         a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        if weighting != "count":
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            return both / (len(a) + len(b) - both)
-        n, m = len(a) // 2, len(b) // 2
-        _, i, j = np.intersect1d(a[:n], b[:m], assume_unique=True, return_indices=True)
-        both = int(np.minimum(a[n:][i], b[m:][j]).sum(dtype=np.int64))
-        return both / (int(a[n:].sum(dtype=np.int64)) + int(b[m:].sum(dtype=np.int64)) - both)
+        if weighting == "count":
+            n, m = len(a) // 2, len(b) // 2
+            of_a, of_b, a, b = a[n:].astype(np.int64), b[m:].astype(np.int64), a[:n], b[:m]
+        else:
+            of_a, of_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        inter, size, other = int(np.minimum(of_a[i], of_b[j]).sum()), int(of_a.sum()), int(of_b.sum())
+        rest: list = []
+        if large:
+            # Weights beyond the leader's count, too, so that a shingle's surplus is something outside it.
+            left = of_a.copy()
+            left[i] = np.maximum(0, of_a[i] - of_b[j])
+            keys, amounts = a[left > 0], left[left > 0]
+            need = max(1, math.ceil(similarity * size - 1e-9) - inter)
+            # Without the last keys of less than `need` in all, no such set could get its share from them alone.
+            tail = np.cumsum(amounts[::-1])[::-1]
+            rest = keys[tail >= need].tolist()
+        return inter >= similarity * (size + other - inter), size, inter, rest
+
+    schema = "a bigint, b bigint, large boolean, link boolean, size bigint, inter bigint, beyond array<bigint>"
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                close = np.array([jaccard(x, y) >= similarity for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)], bool)
-                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(close)) for k in (0, 1)], names=["a", "b"])
+                found = [look(x, y, k) for x, y, k in zip(*[part.column(c).to_pylist() for c in (3, 4, 2)], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]], names=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,30 +263,49 @@ def relabelled(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     return df.join(to, column, "left").withColumn(column, F.coalesce("__to", column)).select(df.columns)
 
 
-def leader(n: Column, turn: int) -> Column:
-    """Whether a row leads in this round: about 4**turn rows of a bucket of n, chosen by hash, and its least one."""
-    return (F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(n / F.lit(float(4**turn)))) == 0) & F.lit(turn > 0) | (F.col("node") == F.col("least"))
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``labels`` after the classes that ``links`` connect have become one; only links between classes are worked on."""
+    if labels is not None:
+        links = relabelled(relabelled(links, "a", labels), "b", labels).where("a <> b").distinct()
+    links = stage(links, "new")
+    if links.isEmpty():
+        return labels
+    found = components(links)
+    return found if labels is None else stage(relabelled(labels, "label", found).unionByName(found.join(labels.select("node"), "node", "left_anti")), "merged")
 
 
-def links_of(active: DataFrame, sets: DataFrame, similarity: float, weighting: str) -> DataFrame | None:
-    """All links ``a, b`` that the buckets ``active(bucket, node)`` need for their classes."""
-    active = stage(active.withColumn("label", F.col("node")), "active")
-    found, turn = None, 0
+def linked(active: DataFrame, sets: DataFrame, similarity: float, weighting: str) -> DataFrame | None:
+    """``node, label`` of the classes of more than one node in the buckets ``active(bucket, node)``; None without any."""
+    sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    weights = stage(active.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    active, labels, turn = stage(active.withColumn("label", F.col("node")).join(weights, "node"), "active"), None, 0
     while not active.isEmpty():
-        sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"))
-        rows = stage(active.join(sizes, "bucket").withColumn("leads", F.when(F.col("n") <= SMALL, F.lit(True)).otherwise(leader(F.col("n"), turn))), "rows")
-        leads = rows.where("leads").select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = rows.join(leads, "bucket").where("label <> lb AND node <> b AND (NOT leads OR node < b)")
-        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        new = stage(similar(pairs, sets, similarity, weighting), "links")
-        found = new if found is None else found.unionByName(new)
-        labels = components(found)
-        left = rows.where("NOT leads").select("bucket", "node")
-        left = left.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed_up = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        active = stage(left.join(mixed_up, "bucket"), "active")
+        heads = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("head"))
+        rows = active.join(heads, "bucket").select("bucket", "node", "label", ((F.col("n") > SMALL) & F.lit(turn < STARS)).alias("large"), (-F.col("head.m")).alias("head"))
+        star = rows.where("large AND node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct().withColumn("large", F.lit(True))
+        few = rows.where("NOT large")
+        pair = few.select("bucket", "node", "label").join(few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("label <> lb AND node < b")
+        pairs = star.union(pair.select(F.col("node").alias("a"), "b").distinct().withColumn("large", F.lit(False)))
+        looks = stage(compared(pairs, sets, similarity, weighting), "looks")
+        labels = merged(labels, looks.where("link").select("a", "b"))
+        active = stage(following(looks.where("large"), labels, weights, similarity), "active") if turn < STARS else active.limit(0)
         turn += 1
-    return found
+    return labels
+
+
+def following(looks: DataFrame, labels: DataFrame | None, weights: DataFrame, similarity: float) -> DataFrame:
+    """The buckets in which rows that were compared with a leader go on: ``bucket, node, label, weight``."""
+    at = looks.withColumns({"la": F.col("a"), "lb": F.col("b")})
+    at = at if labels is None else relabelled(relabelled(at, "la", labels), "lb", labels)
+    beyond = at.select(F.col("a").alias("node"), F.col("la").alias("label"), "b", F.explode("beyond").alias("key")).select("node", "label", F.xxhash64("b", "key").alias("bucket"))
+    # Of x and y that are parts of the leader, similar ones have |x| + |y| <= (1 + 1 / similarity) * min(|x & p|, |y & p|).
+    part = at.where(F.col("inter") >= F.lit(similarity) * F.col("size") - 1e-6).withColumn("room", F.lit(1 + 1 / similarity) * F.col("inter") - F.col("size") + 1e-6)
+    limits = part.groupBy("b").agg(F.min("size").alias("least"), F.max(F.when(F.col("la") != F.col("lb"), F.col("room"))).alias("most"))
+    fits = part.join(limits, "b").where(F.when(F.col("la") != F.col("lb"), F.col("room") >= F.col("least")).otherwise(F.col("size") <= F.col("most")))
+    parts = fits.select(F.col("a").alias("node"), F.col("la").alias("label"), F.xxhash64("b", F.lit("parts")).alias("bucket"))
+    rows = beyond.unionByName(parts).distinct()
+    mixed_up = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return rows.join(mixed_up, "bucket").join(weights, "node").select("bucket", "node", "label", "weight")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
@@ -284,10 +328,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     active = stage(banded.join(shared, "bucket").select("bucket", "node"), "buckets")
     wanted = nodes.join(active.select("node").distinct(), "node").select("first.doc_id", "first.tkey", "node")
     sets = stage(shingle_sets(docs, wanted, weighting), "sets")
-    links = links_of(active, sets, similarity, weighting)
+    labels = linked(active, sets, similarity, weighting)
     known = nodes.select("k1", "k2", "first", "n", "node")
-    if links is not None:
-        known = relabelled(known, "node", components(links))
+    if labels is not None:
+        known = relabelled(known, "node", labels)
     known = stage(known, "known")
     classes = known.groupBy("node").agg(F.min("first").alias("class"), F.sum("n").alias("class_size"))
     placed = known.select("k1", "k2", "node").join(classes, "node").drop("node")

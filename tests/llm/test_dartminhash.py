@@ -70,6 +70,18 @@ def test_large_buckets_need_rounds(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in dart.near_duplicates(docs).collect()) == brute(rows)
 
 
+def test_one_group_of_many_edits(spark):
+    """Copies of one text with up to ten edits or cuts: links exist between some, far from all, of them."""
+    rng, rows = random.Random(13), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    for k in range(150):
+        words = edited(rng, base, rng.randrange(0, 11))
+        cut = rng.choice([0, 0, 0, 10, 25, 40])
+        rows.append((k, " ".join(words[: len(words) - cut])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in dart.near_duplicates(docs).collect()) == brute(rows)
+
+
 @pytest.mark.parametrize("scale", [1.0, 0.5, 3.0])
 def test_signatures_estimate_weighted_similarity(scale):
     rng = np.random.default_rng(4)
