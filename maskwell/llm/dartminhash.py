@@ -281,31 +281,39 @@ def linked(active: DataFrame, sets: DataFrame, similarity: float, weighting: str
     active, labels, turn = stage(active.withColumn("label", F.col("node")).join(weights, "node"), "active"), None, 0
     while not active.isEmpty():
         heads = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("head"))
-        rows = active.join(heads, "bucket").select("bucket", "node", "label", ((F.col("n") > SMALL) & F.lit(turn < STARS)).alias("large"), (-F.col("head.m")).alias("head"))
+        rows = stage(active.join(heads, "bucket").select("bucket", "node", "label", ((F.col("n") > SMALL) & F.lit(turn < STARS)).alias("large"), (-F.col("head.m")).alias("head")), "rows")
         star = rows.where("large AND node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct().withColumn("large", F.lit(True))
         few = rows.where("NOT large")
         pair = few.select("bucket", "node", "label").join(few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("label <> lb AND node < b")
         pairs = star.union(pair.select(F.col("node").alias("a"), "b").distinct().withColumn("large", F.lit(False)))
         looks = stage(compared(pairs, sets, similarity, weighting), "looks")
         labels = merged(labels, looks.where("link").select("a", "b"))
-        active = stage(following(looks.where("large"), labels, weights, similarity), "active") if turn < STARS else active.limit(0)
+        active = stage(following(rows.where("large"), looks.where("large"), labels, weights, similarity), "active") if turn < STARS else active.limit(0)
         turn += 1
     return labels
 
 
-def following(looks: DataFrame, labels: DataFrame | None, weights: DataFrame, similarity: float) -> DataFrame:
+def following(rows: DataFrame, looks: DataFrame, labels: DataFrame | None, weights: DataFrame, similarity: float) -> DataFrame:
     """The buckets in which rows that were compared with a leader go on: ``bucket, node, label, weight``."""
-    at = looks.withColumns({"la": F.col("a"), "lb": F.col("b")})
-    at = at if labels is None else relabelled(relabelled(at, "la", labels), "lb", labels)
-    beyond = at.select(F.col("a").alias("node"), F.col("la").alias("label"), "b", F.explode("beyond").alias("key")).select("node", "label", F.xxhash64("b", "key").alias("bucket"))
+    now = lambda df, c: df if labels is None else relabelled(df, c, labels)
+    # Buckets that are of one class by now are done, and so are comparisons that no other bucket needs.
+    held = now(rows.select("bucket", "node", "head", F.col("node").alias("label")), "label")
+    open_ones = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    needed = held.join(open_ones, "bucket").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    at = stage(now(now(looks.join(needed, ["a", "b"]).withColumns({"la": F.col("a"), "lb": F.col("b")}), "la"), "lb"), "at")
+    # Which shingles stand in nodes of different classes at all, is found node by node, before leaders multiply them.
+    own = at.groupBy("a", "la").agg(F.array_distinct(F.flatten(F.collect_list("beyond"))).alias("keys")).select("a", "la", F.explode("keys").alias("key"))
+    common = own.groupBy("key").agg(F.min("la").alias("low"), F.max("la").alias("high")).where("low <> high").select("key")
+    mine = own.join(common, "key").groupBy("a").agg(F.collect_list("key").alias("keys"))
+    beyond = at.join(mine, "a").select(F.col("a").alias("node"), F.col("la").alias("label"), "b", F.explode(F.array_intersect("beyond", "keys")).alias("key")).select("node", "label", F.xxhash64("b", "key").alias("bucket"))
     # Of x and y that are parts of the leader, similar ones have |x| + |y| <= (1 + 1 / similarity) * min(|x & p|, |y & p|).
     part = at.where(F.col("inter") >= F.lit(similarity) * F.col("size") - 1e-6).withColumn("room", F.lit(1 + 1 / similarity) * F.col("inter") - F.col("size") + 1e-6)
     limits = part.groupBy("b").agg(F.min("size").alias("least"), F.max(F.when(F.col("la") != F.col("lb"), F.col("room"))).alias("most"))
     fits = part.join(limits, "b").where(F.when(F.col("la") != F.col("lb"), F.col("room") >= F.col("least")).otherwise(F.col("size") <= F.col("most")))
     parts = fits.select(F.col("a").alias("node"), F.col("la").alias("label"), F.xxhash64("b", F.lit("parts")).alias("bucket"))
-    rows = beyond.unionByName(parts).distinct()
-    mixed_up = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return rows.join(mixed_up, "bucket").join(weights, "node").select("bucket", "node", "label", "weight")
+    goes = beyond.unionByName(parts).distinct()
+    mixed_up = goes.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    return goes.join(mixed_up, "bucket").join(weights, "node").select("bucket", "node", "label", "weight")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
