@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,44 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20):
+    """Within, Arrow batches between JVM and Python hold about ``most`` bytes: both sides keep several at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def slices(batch, column: int, rows: int = 256, most: int = 1 << 20):
+    """Slices of an Arrow batch, of at most ``rows`` rows and ``most`` bytes in a binary column; a longer value is alone."""
+    import pyarrow.compute as pc
+
+    begin, total = 0, 0
+    for n, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if n > begin and (n - begin >= rows or total + size > most):
+            yield batch.slice(begin, n - begin)
+            begin, total = n, 0
+        total += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task still counts for its executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back.
 
@@ -52,7 +91,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/maskwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
@@ -82,5 +122,6 @@ def map_slices(df: DataFrame, function, schema, rows: int = 256) -> DataFrame:
                 out = function(batch.slice(at, rows).to_pydict())
                 if out and len(next(iter(out.values()))):
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)

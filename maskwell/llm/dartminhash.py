@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom_lm import WORDS, mixed
-from .common import stage, table, text_of
+from .common import release, slices, stage, table, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 5: a pair at similarity 0.8 is missed with probability (1 - 0.8**5) ** 32 = 3e-6.
@@ -135,8 +135,7 @@ def described(docs: DataFrame, weighting: str) -> DataFrame:
         import xxhash
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 2):
                 texts = [words_of(raw) for raw in part.column(2).to_pylist()]
                 keys = [divmod(xxhash.xxh3_128_intdigest(b" ".join(w)), 1 << 64) for w in texts]
                 once: dict = {}
@@ -150,6 +149,7 @@ def described(docs: DataFrame, weighting: str) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
                 columns = [pa.array([k[j] - (1 << 63) for k in keys], pa.int64()) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[full].ravel()))], names=["doc_id", "tkey", "k1", "k2", "bands"])
+        release()
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("tkey"), text_of().cast("binary").alias("raw"))
     return plain.mapInArrow(run, schema)
@@ -174,14 +174,14 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFram
         import pyarrow as pa
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 1):
                 sets = []
                 for raw in part.column(1).to_pylist():
                     s, c = shingles(words_of(raw))
                     low, first = np.unique((s >> np.uint64(32)).astype(np.uint32), return_index=True)
                     sets.append(low.tobytes() + (c[first].astype(np.uint32).tobytes() if weighting == "count" else b""))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        release()
 
     return rows.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
@@ -226,10 +226,10 @@ def compared(pairs: DataFrame, sets: DataFrame, similarity: float, weighting: st
 
         kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 3):
                 found = [look(x, y, k) for x, y, k in zip(*[part.column(c).to_pylist() for c in (3, 4, 2)], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]], names=[x.split()[0] for x in schema.split(", ")])
+        release()
 
     return rows.mapInArrow(run, schema)
 
