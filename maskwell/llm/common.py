@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,16 +44,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-@contextmanager
-def small_batches(spark: SparkSession, most: int = 4 << 20):
-    """Within, Arrow batches between JVM and Python hold about ``most`` bytes: both sides keep several at a time."""
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From here on, Arrow batches of this session hold about ``most`` bytes, unless it asks for less.
+
+    JVM and Python each keep several batches of a task, outside the heap; rows alone don't bound texts.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    if int(spark.conf.get(key).rstrip("bB")) > most:
+        spark.conf.set(key, str(most))
 
 
 def slices(batch, column: int, rows: int = 256, most: int = 1 << 20):
@@ -91,8 +88,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/maskwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark):
-        df.write.parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
@@ -112,6 +109,7 @@ def map_slices(df: DataFrame, function, schema, rows: int = 256) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
