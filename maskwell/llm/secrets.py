@@ -34,7 +34,9 @@ URL_RUN = re.compile(r"(?:[A-Za-z0-9._~+/=&?:@!$'()*,;-]*%[0-9A-Fa-f]{2})+[A-Za-
 UNICODE_RUN = re.compile(r"(?:[!-\[\]-~]*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}))+[!-\[\]-~]*")
 UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 #: 16 characters decode to 12 bytes, the least that can hold an assignment worth finding.
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The standard and the URL-safe alphabet alone, for tokens that touch a separator which the other alphabet has.
+ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 #: How much of one layer is unpacked at most. A layer beyond it is scanned up to there and counted in ``n_cut``.
 MAX_LAYER_BYTES = 64 << 20
 
@@ -156,6 +158,19 @@ def base64_layer(token: str, limit: int):
     return None if text is None else (text, [b * 4 // 3 for b in utf8_starts(text)[:-1]] + [len(token)], False)
 
 
+def tokens(text: str):
+    """(start, end) of each base64 run, and of the runs of a single alphabet inside it."""
+    for m in BASE64.finditer(text):
+        found = {m.span()}
+        yield m.span()
+        if not m[0].rstrip("=").isalnum():
+            for alphabet in ALPHABETS:
+                for t in alphabet.finditer(text, *m.span()):
+                    if t.span() not in found:
+                        found.add(t.span())
+                        yield t.span()
+
+
 def layers_in(text: str, limit: int):
     """(start, end, kind, decoded text, places, cut) for each encoded region."""
     if "%" in text:
@@ -166,9 +181,9 @@ def layers_in(text: str, limit: int):
         for m in UNICODE_RUN.finditer(text):
             if found := unicode_layer(m[0]):
                 yield m.start(), m.end(), "unicode", *found
-    for m in BASE64.finditer(text):
-        if found := base64_layer(m[0], limit):
-            yield m.start(), m.end(), "base64" if found[1] is not None else "compressed", *found
+    for start, end in tokens(text):
+        if found := base64_layer(text[start:end], limit):
+            yield start, end, "base64" if found[1] is not None else "compressed", *found
 
 
 def scan(text: str, limit: int = MAX_LAYER_BYTES):
