@@ -1,7 +1,7 @@
 r"""Secret scans over every layer of a text.
 
 A worklist begins with the text itself. Each layer is scanned, and every encoded region in it that decodes to readable
-text becomes a new layer: runs with URL escapes, runs with Unicode or hex escapes, base64 tokens, and base64 tokens that
+text becomes a new layer: URL escapes, Unicode or hex escapes (by runs and in the whole layer at once), base64 tokens, and base64 tokens that
 hold gzip, zlib, bzip2, xz or zstd data. Layers already seen in this text are not taken up again, so cycles end and the
 worklist reaches its fixpoint. A span found in a layer is mapped back, layer by layer, to the region of the original text
 that it was decoded from: URL and Unicode layers map position by position, base64 layers by groups of characters, and
@@ -17,7 +17,8 @@ import hashlib
 import lzma
 import re
 import zlib
-from urllib.parse import unquote_to_bytes
+from bisect import bisect_right
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 
 URL_RUN = re.compile(r"(?:[A-Za-z0-9._~+/=&?:@!$'()*,;-]*%[0-9A-Fa-f]{2})+[A-Za-z0-9._~+/=&?:@!$'()*,;-]*")
+URL_ONE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:[!-\[\]-~]*(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}))+[!-\[\]-~]*")
 UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})")
 #: 16 characters decode to 12 bytes, the least that can hold an assignment worth finding.
@@ -102,45 +104,55 @@ def utf8_starts(text: str) -> list[int]:
     return out
 
 
-def url_layer(run: str):
-    """The decoded run and, for each of its characters and the end, the place in the run."""
-    text = readable(unquote_to_bytes(run))
-    if text is None or text == run:
+def place_map(outs: list[int], ins: list[int]):
+    """The place before decoding of a place after it; ``outs`` and ``ins`` have both where a literal or an escape begins."""
+
+    def place(a: int) -> int:
+        k = bisect_right(outs, a) - 1
+        return ins[k] + a - outs[k]
+
+    return place
+
+
+def url_layer(text: str):
+    """``text`` with all URL escapes decoded and the function that gives a character's place in it."""
+    out, outs, ins, k, n = [], [0], [0], 0, 0
+    for m in URL_ONE.finditer(text):
+        chars = readable(bytes.fromhex(m[0].replace("%", "")))
+        if chars is None:
+            return None
+        starts = utf8_starts(chars)
+        n += m.start() - k
+        out += [text[k : m.start()], chars]
+        outs.extend(range(n, n + len(chars) + 1))
+        ins.extend(m.start() + 3 * b for b in starts)
+        n, k = n + len(chars), m.end()
+    if not k:
         return None
-    bytes_at = []  # where each decoded byte begins in the run
-    k = 0
-    while k < len(run):
-        bytes_at.append(k)
-        k += 3 if run[k] == "%" and re.match(r"[0-9A-Fa-f]{2}", run[k + 1 : k + 3]) else 1
-    bytes_at.append(len(run))
-    return text, [bytes_at[b] for b in utf8_starts(text)], False
-
-
-def unicode_layer(run: str):
-    out, at, k = [], [], 0
-    for m in UNICODE_ONE.finditer(run):
-        out.append(run[k : m.start()])
-        at.extend(range(k, m.start()))
+    out.append(text[k:])
+    return "".join(out), place_map(outs, ins), False
+
+
+def unicode_layer(text: str):
+    """Likewise for Unicode and hex escapes; a pair of surrogates is one character."""
+    out, outs, ins, k, n, high = [], [0], [0], 0, 0, 0
+    for m in UNICODE_ONE.finditer(text):
         code = int(m[1] or m[2] or m[3], 16)
-        out.append(chr(code) if code <= 0x10FFFF else m[0])
-        at.extend([m.start()] * len(out[-1]))
-        k = m.end()
-    out.append(run[k:])
-    at.extend(range(k, len(run) + 1))
-    text = "".join(out)
-    if any("\ud800" <= c <= "\udfff" for c in text):
-        pairs, places, i = [], [], 0
-        while i < len(text):
-            if "\ud800" <= text[i] <= "\udbff" and "\udc00" <= text[i + 1 : i + 2] <= "\udfff":
-                pairs.append(chr(0x10000 + ((ord(text[i]) - 0xD800) << 10) + ord(text[i + 1]) - 0xDC00))
-                places.append(at[i])
-                i += 2
-            else:
-                pairs.append("�" if "\ud800" <= text[i] <= "\udfff" else text[i])
-                places.append(at[i])
-                i += 1
-        text, at = "".join(pairs), [*places, at[-1]]
-    return (text, at, False) if text != run else None
+        if code > 0x10FFFF:
+            continue
+        if high and m.start() == k and 0xDC00 <= code <= 0xDFFF:
+            out[-1], high = chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00), 0
+            k = ins[-1] = m.end()
+            continue
+        n += m.start() - k
+        out += [text[k : m.start()], "\ufffd" if 0xD800 <= code <= 0xDFFF else chr(code)]
+        outs += [n, n + 1]
+        ins += [m.start(), m.end()]
+        n, k, high = n + 1, m.end(), code if 0xD800 <= code <= 0xDBFF else 0
+    if not k:
+        return None
+    out.append(text[k:])
+    return "".join(out), place_map(outs, ins), False
 
 
 def base64_layer(token: str, limit: int):
@@ -154,8 +166,11 @@ def base64_layer(token: str, limit: int):
         text = packed[0].decode("utf-8", "replace")
         return (text, None, packed[1]) if text else None
     text = readable(data)
+    if text is None:
+        return None
+    starts = cache(lambda: utf8_starts(text))
     # a byte b lies in the characters from 4b div 3 on
-    return None if text is None else (text, [b * 4 // 3 for b in utf8_starts(text)[:-1]] + [len(token)], False)
+    return text, lambda a: starts()[a] * 4 // 3 if a < len(text) else len(token), False
 
 
 def tokens(text: str):
@@ -172,15 +187,18 @@ def tokens(text: str):
 
 
 def layers_in(text: str, limit: int):
-    """(start, end, kind, decoded text, places, cut) for each encoded region."""
-    if "%" in text:
-        for m in URL_RUN.finditer(text):
-            if found := url_layer(m[0]):
-                yield m.start(), m.end(), "url", *found
-    if "\\u" in text or "\\x" in text:
-        for m in UNICODE_RUN.finditer(text):
-            if found := unicode_layer(m[0]):
-                yield m.start(), m.end(), "unicode", *found
+    """(start, end, kind, decoded text, place function, cut) for each encoded region.
+
+    For URL and Unicode escapes these are the runs, and the whole text: what is decoded may belong to what stands beside
+    the run.
+    """
+    for kind, has, run, layer in (("url", "%" in text, URL_RUN, url_layer), ("unicode", "\\u" in text or "\\x" in text, UNICODE_RUN, unicode_layer)):
+        if has:
+            for m in run.finditer(text):
+                if m.end() - m.start() < len(text) and (found := layer(m[0])):
+                    yield m.start(), m.end(), kind, *found
+            if found := layer(text):
+                yield 0, len(text), kind, *found
     for start, end in tokens(text):
         if found := base64_layer(text[start:end], limit):
             yield start, end, "base64" if found[1] is not None else "compressed", *found
@@ -210,7 +228,7 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES):
                 if places is None:
                     a, b = start, end
                 else:
-                    a, b = start + places[a], start + max(places[b], places[a] + 1)
+                    a, b = start + places(a), start + max(places(b), places(a) + 1)
                 return (a, b) if back is None else back(a, b)
 
             for a, kind_found, b in base_spans(inner):

@@ -37,3 +37,17 @@ def test_tokens_beside_separators():
     token = base64.b64encode(b"the " + KEY.encode()).decode()
     for text in (f"my-name-{token}", f"a_b_{token}", f"see {token}-"):
         assert len(spans(text)) == 1, text
+
+
+def test_escapes_beside_plain_text():
+    for secret in (r'p\u0061ssword": "hunter2secret', "password%3A hunter2secret", r"p\x61sswd = hunter2secret", 'tok%65n" : "abcdef123456', r"api\u{5f}key='abcdef123456"):
+        text = f'é {{"{secret}"}}'
+        assert spans(text) == [secret], text
+        assert secrets.scan(f"{text} and {text}")[1].__len__() == 2
+    nested = "x password%253A hunter2secret y"
+    assert spans(nested) == ["password%253A hunter2secret"]
+    pair = r"\ud83d\ude00 \ud83d p\u0061ssword=hunter2secret"
+    assert secrets.unicode_layer(pair)[0] == "\U0001f600 \ufffd password=hunter2secret"
+    assert spans(pair) == [r"p\u0061ssword=hunter2secret"]
+    # what the whole layer takes as a value is a name in the run
+    assert "api_key%20=%20abcdefgh" in spans("token: api_key%20=%20abcdefgh")
