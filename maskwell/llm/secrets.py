@@ -1,7 +1,7 @@
 r"""Secret scans over every layer of a text.
 
-A worklist begins with the text itself. Each layer is scanned, and every encoded region in it that decodes to readable
-text becomes a new layer: URL escapes, Unicode or hex escapes (by runs and in the whole layer at once), base64 tokens, and base64 tokens that
+A worklist begins with the text itself. Each layer is scanned, and every encoded region in it becomes a new layer, bytes
+that aren't UTF-8 replaced: URL escapes, Unicode or hex escapes (by runs and in the whole layer at once), base64 tokens, and base64 tokens that
 hold gzip, zlib, bzip2, xz or zstd data. Layers already seen in this text are not taken up again, so cycles end and the
 worklist reaches its fixpoint. A span found in a layer is mapped back, layer by layer, to the region of the original text
 that it was decoded from: URL and Unicode layers map position by position, base64 layers by groups of characters, and
@@ -86,24 +86,24 @@ def unpacked(data: bytes, limit: int) -> tuple[bytes, bool] | None:
     return None
 
 
-def readable(data: bytes) -> str | None:
-    """UTF-8 text without control characters other than white space."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return None if re.search(r"[\x00-\x08\x0E-\x1F\x7F]", text) else text
+def readable(text: str) -> bool:
+    """Text without replaced bytes and without control characters other than white space."""
+    return not re.search(r"[\x00-\x08\x0E-\x1F\x7F\udc80-\udcff]", text)
 
 
 def utf8_starts(text: str) -> list[int]:
-    """For each code point, and the end, the byte it begins at."""
+    """For each code point, and the end, the byte it begins at; a byte that isn't UTF-8 is a surrogate."""
     at, out = 0, [0]
     for c in text:
-        at += 1 if c < "\x80" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
+        at += 1 if c < "\x80" or "\udc80" <= c <= "\udcff" else 2 if c < "ࠀ" else 3 if c < "\U00010000" else 4
         out.append(at)
     return out
 
 
+def replaced(text: str) -> str:
+    return re.sub(r"[\udc80-\udcff]", "\ufffd", text)
+
+
 def place_map(outs: list[int], ins: list[int]):
     """The place before decoding of a place after it; ``outs`` and ``ins`` have both where a literal or an escape begins."""
 
@@ -118,19 +118,17 @@ def url_layer(text: str):
     """``text`` with all URL escapes decoded and the function that gives a character's place in it."""
     out, outs, ins, k, n = [], [0], [0], 0, 0
     for m in URL_ONE.finditer(text):
-        chars = readable(bytes.fromhex(m[0].replace("%", "")))
-        if chars is None:
-            return None
+        chars = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
         starts = utf8_starts(chars)
         n += m.start() - k
-        out += [text[k : m.start()], chars]
+        out += [text[k : m.start()], replaced(chars)]
         outs.extend(range(n, n + len(chars) + 1))
         ins.extend(m.start() + 3 * b for b in starts)
         n, k = n + len(chars), m.end()
     if not k:
         return None
     out.append(text[k:])
-    return "".join(out), place_map(outs, ins), False
+    return "".join(out), place_map(outs, ins), False, True
 
 
 def unicode_layer(text: str):
@@ -152,7 +150,7 @@ def unicode_layer(text: str):
     if not k:
         return None
     out.append(text[k:])
-    return "".join(out), place_map(outs, ins), False
+    return "".join(out), place_map(outs, ins), False, True
 
 
 def base64_layer(token: str, limit: int):
@@ -164,13 +162,11 @@ def base64_layer(token: str, limit: int):
         return None
     if packed := unpacked(data, limit):
         text = packed[0].decode("utf-8", "replace")
-        return (text, None, packed[1]) if text else None
-    text = readable(data)
-    if text is None:
-        return None
+        return (text, None, packed[1], True) if text else None
+    text = data.decode("utf-8", "surrogateescape")
     starts = cache(lambda: utf8_starts(text))
     # a byte b lies in the characters from 4b div 3 on
-    return text, lambda a: starts()[a] * 4 // 3 if a < len(text) else len(token), False
+    return replaced(text), lambda a: starts()[a] * 4 // 3 if a < len(text) else len(token), False, readable(text)
 
 
 def tokens(text: str):
@@ -187,7 +183,7 @@ def tokens(text: str):
 
 
 def layers_in(text: str, limit: int):
-    """(start, end, kind, decoded text, place function, cut) for each encoded region.
+    """(start, end, kind, decoded text, place function, cut, whether it is readable) for each encoded region.
 
     For URL and Unicode escapes these are the runs, and the whole text: what is decoded may belong to what stands beside
     the run.
@@ -208,21 +204,24 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES):
     """Base spans, all spans, the number of decoded layers, the depth of the deepest, and the number of cut layers.
 
     Added spans have the kind of the pattern found and the place in the original text; a span that a base match of the
-    same kind already covers is not added again.
+    same kind already covers is not added again. What base64 decodes to is scanned even if it isn't readable text, but then
+    counts as a layer only if a base pattern is in it.
     """
     base = base_spans(text)
     spans, seen, n_layers, deepest, n_cut = set(base), {hash(text)}, 0, 0, 0
     work = [(text, None, 0)]
     while work:
         layer, back, depth = work.pop()
-        for start, end, kind, inner, places, cut in layers_in(layer, limit):
+        for start, end, kind, inner, places, cut, clear in layers_in(layer, limit):
             key = hash(inner)
             where = (start, end) if back is None else back(start, end)
             # A cycle can only come back to a layer over the same region; the same text elsewhere has spans of its own.
             if (key, where) in seen or key == hash(text):
                 continue
             seen.add((key, where))
-            n_layers, deepest, n_cut = n_layers + 1, max(deepest, depth + 1), n_cut + cut
+            found = base_spans(inner)
+            if clear or found:
+                n_layers, deepest, n_cut = n_layers + 1, max(deepest, depth + 1), n_cut + cut
 
             def outer(a: int, b: int, start=start, end=end, places=places, back=back):
                 if places is None:
@@ -231,7 +230,7 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES):
                     a, b = start + places(a), start + max(places(b), places(a) + 1)
                 return (a, b) if back is None else back(a, b)
 
-            for a, kind_found, b in base_spans(inner):
+            for a, kind_found, b in found:
                 x, y = outer(a, b)
                 if not any(k == kind_found and s <= x and y <= e for s, k, e in spans):
                     spans.add((x, kind_found, y))

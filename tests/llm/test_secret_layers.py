@@ -51,3 +51,16 @@ def test_escapes_beside_plain_text():
     assert spans(pair) == [r"p\u0061ssword=hunter2secret"]
     # what the whole layer takes as a value is a name in the run
     assert "api_key%20=%20abcdefgh" in spans("token: api_key%20=%20abcdefgh")
+
+
+def test_odd_bytes_beside_secrets():
+    assert spans("x name=Ren%E9&password%3Dhunter2secret y") == ["password%3Dhunter2secret"]
+    assert spans("x a=%00&token%3Dabcdef123456 y") == ["token%3Dabcdef123456"]
+    assert spans("x %E9%C3%A9%F0%9F%98%80%FFp%61ssword%3Dhunter2secret y") == ["p%61ssword%3Dhunter2secret"]
+    for odd in (b"\0", b"\xe9", b"\xf0\x9f", b"\xff" * 7, b"\xef\xbf\xbd\xed\xa0\x80"):
+        for beyond in (b"", odd, b" and \xe9\0 more"):
+            token = base64.b64encode(odd + KEY.encode() + beyond).decode()
+            (found,) = spans(f"x {token} y")
+            assert token.index(found) == len(odd) * 4 // 3 and abs(len(found.rstrip("=")) - len(KEY) * 4 / 3) < 2
+    # an unreadable payload without a secret is no layer
+    assert secrets.scan(base64.b64encode(bytes(range(200, 256))).decode())[2:] == (0, 0, 0)
