@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
@@ -39,8 +40,9 @@ UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: The standard and the URL-safe alphabet alone, for tokens that touch a separator which the other alphabet has.
 ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
-#: How much of one layer is unpacked at most. A layer beyond it is scanned up to there and counted in ``n_cut``.
+#: How much of an unpacked layer is held at once. A longer one is scanned in overlapping windows and counted in ``n_cut``.
 MAX_LAYER_BYTES = 64 << 20
+OVERLAP, RUN = 1 << 16, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -55,35 +57,121 @@ def joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
-def unpacked(data: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """What compressed ``data`` holds, and whether it was cut at ``limit``; None if it isn't compressed."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, limit)
-            return out, bool(d.unconsumed_tail)
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, limit)
-            return out, not d.eof and not d.needs_input
-        if data[:6] == b"\xfd7zXZ\0":
-            d = lzma.LZMADecompressor()
-            out = d.decompress(data, limit)
-            return out, not d.eof and not d.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import io
-
-            import zstandard
-
-            out = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(limit + 1)
-            return out[:limit], len(out) > limit
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as error:  # zstandard's own error class, without importing it for every text
-        if type(error).__name__ == "ZstdError":
-            return None
-        raise
-    return None
+def inflated(data: bytes, step: int):
+    """The content of the first zlib or gzip member in chunks of at most ``step`` bytes; returns what follows the member."""
+    d, at, left = zlib.decompressobj(47), 0, b""
+    while not d.eof:
+        fed = left or data[at : at + step]
+        at += 0 if left else len(fed)
+        out = d.decompress(fed, step)
+        left = d.unconsumed_tail
+        if out:
+            yield out
+        elif not fed:
+            return b""
+    return d.unused_data + data[at:]
+
+
+def decompressed(d, data: bytes, step: int):
+    """Likewise for a decompressor of bz2 or lzma."""
+    at = 0
+    while not d.eof:
+        fed = data[at : at + step] if d.needs_input else b""
+        at += len(fed)
+        if d.needs_input and not fed:
+            return b""
+        if out := d.decompress(fed, step):
+            yield out
+    return d.unused_data + data[at:]
+
+
+def zstd_frame(data: bytes, step: int):
+    """Likewise for a zstd frame. 512 bytes of input give 22 MB at most, as a block has 3 bytes or more and gives up to 128 KB."""
+    import zstandard
+
+    d, at = zstandard.ZstdDecompressor().decompressobj(), 0
+    while not d.eof:
+        if at >= len(data):
+            return b""
+        out = d.decompress(data[at : at + 512])
+        at += 512
+        for k in range(0, len(out), step):
+            yield out[k : k + step]
+    return d.unused_data + data[at:]
+
+
+def skipped(data: bytes, step: int):
+    """A skippable zstd frame has nothing to show."""
+    yield b""
+    return data[8 + int.from_bytes(data[4:8], "little") :] if len(data) >= 8 else b""
+
+
+def codec(data: bytes):
+    """The function that unpacks what ``data`` begins with, or None."""
+    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
+        return inflated
+    if data[:3] == b"BZh":
+        return lambda data, step: decompressed(bz2.BZ2Decompressor(), data, step)
+    if data[:6] == b"\xfd7zXZ\0":
+        return lambda data, step: decompressed(lzma.LZMADecompressor(), data, step)
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return zstd_frame
+    return skipped if data[1:4] == b"\x2a\x4d\x18" and data[0] >> 4 == 5 else None
+
+
+def unpacked(data: bytes, step: int, broken: list):
+    """Chunks of all that compressed ``data`` holds, member after member; what follows the last one comes as it is.
+
+    ``broken`` gets an entry if a member can't be read to its end.
+    """
+    while data:
+        unpack, some = codec(data), False
+        if unpack is None:
+            yield data
+            return
+        try:
+            members = unpack(data, step)
+            while True:
+                try:
+                    out = next(members)
+                except StopIteration as end:
+                    data = end.value.lstrip(b"\0")  # padding
+                    break
+                some = True
+                yield out
+        except Exception as error:
+            # zstandard's own error class goes by its name, without importing it for every text
+            if not isinstance(error, (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)) and type(error).__name__ != "ZstdError":
+                raise
+            broken.append(error)
+            if not some:
+                yield data
+            return
+
+
+def windows(chunks, limit: int):
+    """Texts of little more than ``limit`` characters that together hold all of ``chunks``.
+
+    Each begins before the end of the one before it, ``OVERLAP`` characters or a quarter of ``limit``, and further at the
+    beginning of the base64 run there; a run of more than half a window is continued at a whole group of 4 instead.
+    """
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    parts, size = [], 0
+    for chunk in chunks:
+        if size >= limit:
+            text = "".join(parts)
+            yield text
+            at = len(text) - min(OVERLAP, limit // 4)
+            start = len(text[:at].rstrip(RUN))
+            if start < len(text) // 2:
+                start += (at - start) // 4 * 4
+            parts, size = [text[start:]], len(text) - start
+            del text
+        parts.append(decoder.decode(chunk))
+        size += len(parts[-1])
+    text = "".join([*parts, decoder.decode(b"", True)])
+    if text:
+        yield text
 
 
 def readable(text: str) -> bool:
@@ -128,7 +216,7 @@ def url_layer(text: str):
     if not k:
         return None
     out.append(text[k:])
-    return "".join(out), place_map(outs, ins), False, True
+    return "".join(out), place_map(outs, ins), 0, True
 
 
 def unicode_layer(text: str):
@@ -150,23 +238,27 @@ def unicode_layer(text: str):
     if not k:
         return None
     out.append(text[k:])
-    return "".join(out), place_map(outs, ins), False, True
+    return "".join(out), place_map(outs, ins), 0, True
 
 
-def base64_layer(token: str, limit: int):
+def base64_layers(token: str, limit: int):
+    """The layers of a base64 token: windows of what it holds compressed, or its bytes as text."""
     body = token.rstrip("=").replace("-", "+").replace("_", "/")
     body = body[:-1] if len(body) % 4 == 1 else body
     try:
         data = base64.b64decode(body + "=" * (-len(body) % 4))
     except binascii.Error:
-        return None
-    if packed := unpacked(data, limit):
-        text = packed[0].decode("utf-8", "replace")
-        return (text, None, packed[1], True) if text else None
+        return
+    if codec(data):
+        part, broken = -1, []
+        for part, text in enumerate(windows(unpacked(data, min(limit, 1 << 20), broken), limit)):
+            yield "compressed", text, None, part, True
+        if part >= 0 and not broken:
+            return
     text = data.decode("utf-8", "surrogateescape")
     starts = cache(lambda: utf8_starts(text))
     # a byte b lies in the characters from 4b div 3 on
-    return replaced(text), lambda a: starts()[a] * 4 // 3 if a < len(text) else len(token), False, readable(text)
+    yield "base64", replaced(text), lambda a: starts()[a] * 4 // 3 if a < len(text) else len(token), 0, readable(text)
 
 
 def tokens(text: str):
@@ -182,11 +274,11 @@ def tokens(text: str):
                         yield t.span()
 
 
-def layers_in(text: str, limit: int):
-    """(start, end, kind, decoded text, place function, cut, whether it is readable) for each encoded region.
+def layers_in(text: str, limit: int, known):
+    """(start, end, kind, decoded text, place function, number of the window, whether it is readable) for each encoded region.
 
     For URL and Unicode escapes these are the runs, and the whole text: what is decoded may belong to what stands beside
-    the run.
+    the run. Base64 tokens for which ``known`` is true are left out.
     """
     for kind, has, run, layer in (("url", "%" in text, URL_RUN, url_layer), ("unicode", "\\u" in text or "\\x" in text, UNICODE_RUN, unicode_layer)):
         if has:
@@ -196,12 +288,13 @@ def layers_in(text: str, limit: int):
             if found := layer(text):
                 yield 0, len(text), kind, *found
     for start, end in tokens(text):
-        if found := base64_layer(text[start:end], limit):
-            yield start, end, "base64" if found[1] is not None else "compressed", *found
+        if not known(start, end, text[start:end]):
+            for found in base64_layers(text[start:end], limit):
+                yield start, end, *found
 
 
 def scan(text: str, limit: int = MAX_LAYER_BYTES):
-    """Base spans, all spans, the number of decoded layers, the depth of the deepest, and the number of cut layers.
+    """Base spans, all spans, the number of decoded layers, the depth of the deepest, and the number of layers in several windows.
 
     Added spans have the kind of the pattern found and the place in the original text; a span that a base match of the
     same kind already covers is not added again. What base64 decodes to is scanned even if it isn't readable text, but then
@@ -209,10 +302,22 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES):
     """
     base = base_spans(text)
     spans, seen, n_layers, deepest, n_cut = set(base), {hash(text)}, 0, 0, 0
-    work = [(text, None, 0)]
+    taken = set()
+
+    def of(layer: str, back):
+        """The layers of ``layer``, made as they are asked for: a window is dropped before the next one is unpacked."""
+
+        def known(start: int, end: int, token: str) -> bool:
+            key = (hash(token), (start, end) if back is None else back(start, end))
+            return key in taken or taken.add(key) is not None
+
+        return layers_in(layer, limit, known)
+
+    work = [(of(text, None), None, 0)]
     while work:
-        layer, back, depth = work.pop()
-        for start, end, kind, inner, places, cut, clear in layers_in(layer, limit):
+        layers, back, depth = work[-1]
+        for start, end, _, inner, places, part, clear in layers:
+            n_cut += part == 1
             key = hash(inner)
             where = (start, end) if back is None else back(start, end)
             # A cycle can only come back to a layer over the same region; the same text elsewhere has spans of its own.
@@ -220,8 +325,8 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES):
                 continue
             seen.add((key, where))
             found = base_spans(inner)
-            if clear or found:
-                n_layers, deepest, n_cut = n_layers + 1, max(deepest, depth + 1), n_cut + cut
+            if part == 0 and (clear or found):
+                n_layers, deepest = n_layers + 1, max(deepest, depth + 1)
 
             def outer(a: int, b: int, start=start, end=end, places=places, back=back):
                 if places is None:
@@ -234,7 +339,10 @@ def scan(text: str, limit: int = MAX_LAYER_BYTES):
                 x, y = outer(a, b)
                 if not any(k == kind_found and s <= x and y <= e for s, k, e in spans):
                     spans.add((x, kind_found, y))
-            work.append((inner, outer, depth + 1))
+            work.append((of(inner, outer), outer, depth + 1))
+            break
+        else:
+            work.pop()
     return base, sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]), x[2])), n_layers, deepest, n_cut
 
 

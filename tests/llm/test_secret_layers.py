@@ -64,3 +64,54 @@ def test_odd_bytes_beside_secrets():
             assert token.index(found) == len(odd) * 4 // 3 and abs(len(found.rstrip("=")) - len(KEY) * 4 / 3) < 2
     # an unreadable payload without a secret is no layer
     assert secrets.scan(base64.b64encode(bytes(range(200, 256))).decode())[2:] == (0, 0, 0)
+
+
+def packers():
+    z = zstandard.ZstdCompressor().compress
+    return {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": z}
+
+
+@pytest.mark.parametrize("name", ["gzip", "zlib", "bz2", "xz", "zstd"])
+def test_all_members(name):
+    pack = packers()[name]
+    token = base64.b64encode(pack(b"nothing here ") + pack(b"nor here ") + pack(KEY.encode())).decode()
+    assert spans(f"x {token} y") == [token]
+    trailing = base64.b64encode(pack(b"nothing here") + b"\0\0\0\0" + KEY.encode()).decode()
+    assert spans(f"x {trailing} y") == [trailing]
+    split = pack(b"passwo") + pack(b"rd=hunter2hunter2")
+    assert len(spans(base64.b64encode(split).decode())) == 1
+    cut_off = pack(" ".join(map(str, range(3000))).encode() + KEY.encode())[:-9]
+    secrets.scan(base64.b64encode(cut_off).decode())  # ends
+
+
+@pytest.mark.parametrize("name", ["gzip", "zlib", "bz2", "xz", "zstd"])
+def test_all_windows(name):
+    pack, rng = packers()[name], random.Random(3)
+    for n in [*range(900, 1100, 7), 5000, 100_000]:
+        filler = "".join(rng.choice("ab ,é") for _ in range(n))
+        secret = rng.choice([KEY, base64.b64encode(b"the " + KEY.encode()).decode(), "p%61ssword%3Dhunter2secret", base64.b64encode(gzip.compress(KEY.encode())).decode()])
+        token = base64.b64encode(pack(f"{filler} {secret} {filler}".encode())).decode()
+        assert spans(f"x {token} y", limit=1000) == [token], (n, secret)
+        assert secrets.scan(token, limit=1000)[4] == 1
+    # a run that is longer than a window
+    run = base64.b64encode(b"word " * 2000 + KEY.encode()).decode()
+    token = base64.b64encode(pack(run.encode())).decode()
+    assert spans(f"x {token} y", limit=1000) == [token]
+
+
+def test_plain_text_that_looks_compressed():
+    for head in (b"x^ ", b"BZh9 ", b"x\x9c "):
+        assert len(spans(base64.b64encode(head + KEY.encode()).decode())) == 1
+
+
+def test_windows_hold_everything():
+    rng = random.Random(4)
+    for limit in (8, 50, 1000):
+        data = "".join(rng.choice("ab é\U0001f600") for _ in range(5000))
+        raw = data.encode()
+        got = list(secrets.windows((raw[k : k + 7] for k in range(0, len(raw), 7)), limit))
+        assert max(map(len, got)) <= limit + 7
+        at = 0
+        for text in got:
+            at = data.index(text, max(0, at - len(text))) + len(text)
+        assert at == len(data)
