@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,22 +51,25 @@ class Index:
         """A new index with ``new(serial, code, mask)`` merged in."""
         return Index(upsert(self.codes, new, "serial", ["code", "mask"]), self.params)
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """``req, serial, hd, md, rank``: the exact ``k`` nearest of each of ``queries(req, code, mask)``."""
+    def search(self, queries: DataFrame, k: int, itself: bool = True) -> DataFrame:
+        """``req, serial, hd, md, rank``: the exact ``k`` nearest of each of ``queries(req, code, mask)``.
+
+        Unless ``itself``, the row whose serial is ``req`` is no hit of that query.
+        """
         q = X.bounded(queries.select("req", F.col("code").alias("q_code"), F.col("mask").alias("q_mask")))
         hd, md = D.hd_md(F.col("q_code"), F.col("q_mask"), F.col("code"), F.col("mask"))
-        rows = self.codes.crossJoin(q).select("req", "serial", hd.alias("hd"), md.alias("md")).where("md > 0")
+        rows = self.codes.crossJoin(q).where(F.lit(itself) | (F.col("serial") != F.col("req"))).select("req", "serial", hd.alias("hd"), md.alias("md")).where("md > 0")
         rank = F.row_number().over(Window.partitionBy("req").orderBy(self.params.order(F.col("hd"), F.col("md")), "serial"))
         return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def banded_search(self, queries: DataFrame, k: int, bands: int = 16, width: int = 7) -> DataFrame:
+    def banded_search(self, queries: DataFrame, k: int, bands: int = 64, width: int = 7, itself: bool = True) -> DataFrame:
         """Like ``search``, but only rows that share a band of bits with the query are looked at; judged by recall."""
-        positions = [[(b * 11 + j * 5 + b * j) % X.BITS for j in range(width)] for b in range(bands)]
+        positions = [random.Random(b).sample(range(X.BITS), width) for b in range(bands)]
         keys = lambda c: F.array(*[sum((F.shiftleft(F.shiftright(c, p).bitwiseAND(F.lit(1).cast("long")), j) for j, p in enumerate(at)), F.lit(b << 20).cast("long")) for b, at in enumerate(positions)])
         own = self.codes.select("serial", "code", "mask", F.explode(keys(F.col("code"))).alias("band"))
         q = queries.select("req", F.col("code").alias("q_code"), F.col("mask").alias("q_mask"), F.explode(keys(F.col("code"))).alias("band"))
         hd, md = D.hd_md(F.col("q_code"), F.col("q_mask"), F.col("code"), F.col("mask"))
-        rows = own.join(X.bounded(q), "band").select("req", "serial", hd.alias("hd"), md.alias("md")).where("md > 0").distinct()
+        rows = own.join(X.bounded(q), "band").where(F.lit(itself) | (F.col("serial") != F.col("req"))).select("req", "serial", hd.alias("hd"), md.alias("md")).where("md > 0").distinct()
         rank = F.row_number().over(Window.partitionBy("req").orderBy(self.params.order(F.col("hd"), F.col("md")), "serial"))
         return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -83,10 +87,11 @@ def index_search(spark, sf_dir):
 
 @query("ann_recall")
 def ann_recall(spark, sf_dir):
-    """The share of the true three nearest, by distance, that the banded search finds."""
-    index, queries = left_index(spark, sf_dir)
-    exact = index.search(queries, 3).select("req", "serial")
-    found = index.banded_search(queries, 3).select("req", "serial").withColumn("hit", F.lit(1))
+    """The share of the true three nearest, by distance, that the banded search finds among all rows but the query itself."""
+    e = X.eyes(spark, sf_dir).select("serial", F.col("code_l").alias("code"), F.col("mask_l").alias("mask"))
+    index, queries = Index(e.withColumn("version", F.lit(0).cast("long"))), X.requests(e)
+    exact = index.search(queries, 3, itself=False).select("req", "serial")
+    found = index.banded_search(queries, 3, itself=False).select("req", "serial").withColumn("hit", F.lit(1))
     return exact.join(found, ["req", "serial"], "left").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("n"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
