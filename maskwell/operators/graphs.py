@@ -279,60 +279,67 @@ def apply_mutations(wal: DataFrame) -> DataFrame:
     ``wal`` has ``eye, seq_no, as_of, op, base, layer, neighbors, side``, one row an operation. Records apply in order of
     seq_no; within one, node operations come first. References count if their node was minted in the record or
     existed unchanged at its as_of. A neighbourhood drops stale links when it is edited, then takes the record's stamp.
-    The fold of an eye is sequential by nature, so an eye is one group; checkpoints bound its length.
+    When a node was minted and removed follows from its own node operations alone. So each reference gets, from its node's
+    timeline, whether it counts and the seq_no from which it is stale; the neighbourhoods of a node then fold by themselves.
     """
+    wal = X.cut(wal.select("eye", "seq_no", "as_of", "op", "base", "layer", "neighbors", "side").withColumn("pos", F.monotonically_increasing_id()))
+    node_ops = wal.where("op IN ('add_node', 'remove_node')")
+    edge_ops = wal.where("op IN ('add_edges', 'remove_edges')")
+    # -1 is the base itself
+    named = F.concat(F.array(F.struct(F.lit(-1).alias("at"), F.col("base").alias("node"))), F.transform("neighbors", lambda z, k: F.struct(k.alias("at"), z.alias("node"))))
+    uses = edge_ops.select("eye", "seq_no", "as_of", "pos", F.explode(named).alias("x")).select("eye", F.col("x.node").alias("node"), "seq_no", "as_of", "pos", "x.at")
+    marks = node_ops.groupBy("eye", F.col("base").alias("node"), "seq_no").agg(F.bool_or(F.col("op") == "add_node").alias("minted"), (F.max_by("op", "pos") == "add_node").alias("stays"))
+    marks = marks.select("eye", "node", "seq_no", F.struct("seq_no", "minted", "stays").alias("mark"))
+    w = Window.partitionBy("eye", "node").orderBy("seq_no")
+    later = Window.partitionBy("eye", "node").orderBy(F.desc("seq_no")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = (
+        uses.unionByName(marks, allowMissingColumns=True)
+        .withColumn("before", F.max("mark").over(w.rangeBetween(Window.unboundedPreceding, -1)))
+        .withColumn("now", F.max("mark").over(w.rangeBetween(0, 0)))
+        .withColumn("next", F.min("mark.seq_no").over(later))
+        .where("pos IS NOT NULL")
+    )
+    minted, lives = F.coalesce("now.minted", F.lit(False)), F.coalesce("before.stays", F.lit(False))
+    counts = minted | (lives & ((F.col("at") < 0) | (F.col("before.seq_no") <= F.col("as_of"))))
+    stale = F.when(F.col("now").isNotNull() & ~F.col("now.stays"), F.col("seq_no")).otherwise(F.col("next"))
+    refs = seen.where(counts).groupBy("eye", "pos").agg(F.sort_array(F.collect_list(F.struct("at", "node", stale.alias("stale")))).alias("refs"))
+    known = edge_ops.join(refs, ["eye", "pos"]).where("refs[0].at = -1")
+    known = known.withColumn("own", F.col("refs")[0]).withColumn("refs", F.filter("refs", lambda r: (r["at"] >= 0) & ((F.col("op") == "remove_edges") | (r["node"] != F.col("base"))))).where("size(refs) > 0")
+    edits = known.where("side IN ('base', 'all')").select("eye", F.col("base").alias("src"), "seq_no", "pos", F.lit(-1).alias("at"), "op", "layer", "refs")
+    back = known.where("side IN ('neighbors', 'all')").select("eye", F.explode("refs").alias("r"), "seq_no", "pos", "op", "layer", "own")
+    back = back.select("eye", F.col("r.node").alias("src"), "seq_no", "pos", F.col("r.at").alias("at"), "op", "layer", F.array("own").alias("refs"))
+    nodes_too = node_ops.select("eye", F.col("base").alias("src"), "seq_no", "pos", F.lit(-1).alias("at"), "op", "layer")
+    steps = edits.unionByName(back).unionByName(nodes_too, allowMissingColumns=True)
+    parts = steps.select("eye", "src", "seq_no", F.col("op").isin("add_edges", "remove_edges").alias("edit"), "pos", "at", "op", "layer", F.col("refs.node").alias("nodes"), F.transform("refs.stale", lambda z: F.coalesce(z, F.lit(1 << 62))).alias("stales"))
 
     def fold(rows):
         import pandas as pd
 
-        clock: dict[int, int] = {}
-        lists: dict[tuple[int, int], list] = {}  # (layer, serial) -> [stamp, targets]
-
-        def edit(layer, serial, seq, change):
-            at = lists.get((layer, serial))
-            if at is not None:
-                kept = [z for z in at[1] if clock.get(z, at[0] + 1) <= at[0]]
-                lists[layer, serial] = [seq, change(kept)]
-
-        for seq, record in rows.groupby("seq_no", sort=True):
-            as_of = int(record["as_of"].iloc[0])
-            minted = set(record.loc[record["op"] == "add_node", "base"])
-            fresh = lambda z: z in minted or clock.get(z, as_of + 1) <= as_of  # noqa: E731, B023
-            edge_ops = []
-            for r in record[record["op"].isin(["add_edges", "remove_edges"])].itertuples():
-                if r.base in minted or r.base in clock:
-                    refs = [int(z) for z in r.neighbors if fresh(z) and (r.op == "remove_edges" or z != r.base)]
-                    if refs:
-                        edge_ops.append((r.op, int(r.base), int(r.layer), refs, r.side))
-            for r in record[record["op"].isin(["add_node", "remove_node"])].itertuples():
-                base = int(r.base)
-                if r.op == "remove_node":
-                    clock.pop(base, None)
-                    for key in [k for k in lists if k[1] == base]:
-                        del lists[key]
-                else:
-                    for layer in range(int(r.layer) + 1):
-                        lists[layer, base] = [int(seq), []]
-                    clock[base] = int(seq)
-            for op, base, layer, refs, side in edge_ops:
-                add = op == "add_edges"
-                if side in ("base", "all"):
-                    edit(layer, base, int(seq), lambda n: n + refs if add else [z for z in n if z not in refs])  # noqa: B023
-                if side in ("neighbors", "all"):
-                    for z in refs:
-                        edit(layer, z, int(seq), lambda n: [*n, base] if add else [x for x in n if x != base])  # noqa: B023
-        out = [(rows["eye"].iloc[0], layer, src, z, stamp) for (layer, src), (stamp, to) in lists.items() for z in to]
+        lists: dict[int, list] = {}  # layer -> [stamp, (target, stale from)]
+        rows = rows.sort_values(["seq_no", "edit", "pos", "at"])
+        for seq, op, layer, nodes, stales in zip(rows["seq_no"], rows["op"], rows["layer"], rows["nodes"], rows["stales"]):
+            if op == "remove_node":
+                lists.clear()
+            elif op == "add_node":
+                lists.update({k: [seq, []] for k in range(int(layer) + 1)})
+            elif layer in lists:
+                kept = [x for x in lists[layer][1] if x[1] > seq]
+                gone = set(nodes) if op == "remove_edges" else ()
+                lists[layer] = [seq, [x for x in kept if x[0] not in gone] if gone else kept + list(zip(nodes, stales))]
+        out = [(rows["eye"].iloc[0], layer, rows["src"].iloc[0], z, stamp) for layer, (stamp, to) in lists.items() for z, _ in to]
         return pd.DataFrame(out, columns=["eye", "layer", "src", "dst", "nbhd_seq"])
 
-    return wal.groupBy("eye").applyInPandas(fold, "eye string, layer long, src long, dst long, nbhd_seq long")
+    return parts.groupBy("eye", "src").applyInPandas(fold, "eye string, layer long, src long, dst long, nbhd_seq long")
 
 
 @query("wal_apply")
 def wal_apply(spark, sf_dir):
-    """A log made from the first 600 events of each eye: nodes are added with links back, some removed or re-minted."""
-    e = X.table(spark, sf_dir, "events").where("event_id < 600").select((F.col("event_id") + 1).alias("seq_no"), (F.col("event_id") % 120).alias("base"))
+    """A log made from all events for each eye, five to a node: nodes are added with links back, some removed or re-minted."""
+    events = X.table(spark, sf_dir, "events")
+    n = max(120, ((events.agg(F.max("event_id")).first()[0] or 0) + 1) // 5)
+    e = events.select((F.col("event_id") + 1).alias("seq_no"), (F.col("event_id") % n).alias("base"))
     e = e.crossJoin(F.broadcast(spark.createDataFrame([("L",), ("R",)], "eye string")))
-    back = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: F.pmod(F.col("base") - j, F.lit(120)).cast("long"))
+    back = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: F.pmod(F.col("base") - j, F.lit(n)).cast("long"))
     kind = F.when(F.col("seq_no") % 17 == 0, F.array(F.lit("remove_node"))).when(F.col("seq_no") % 11 == 0, F.array(F.lit("remove_edges"))).otherwise(F.array(F.lit("add_node"), F.lit("add_edges")))
     wal = e.withColumn("op", F.explode(kind)).select("eye", "seq_no", (F.col("seq_no") - 1).alias("as_of"), "op", "base", F.lit(0).alias("layer"), back.alias("neighbors"), F.lit("all").alias("side"))
     return apply_mutations(wal)
