@@ -7,14 +7,15 @@ to their weighted Jaccard similarity. With theta = t / total weight, t = k ln k
 large it is; sets with an empty coordinate throw again with theta doubled, which leaves the darts found so far in place.
 
 Signatures are cut into bands. Texts that share a band meet in a bucket, where candidates are compared exactly. A small
-bucket compares its pairs of different classes. In a large one, all rows are compared with one leader, the text that meets
-most others, and that tells which other pairs can still be similar: sets x and y that share nothing outside the leader p
-have |x & y| <= min(|x & p|, |y & p|). So rows go on only into buckets for what they have beyond the leader (a prefix of it,
-as long as exactness needs), or, if they are nearly parts of the leader and a partner of a fitting size exists, into a bucket
-of such parts. These buckets are far smaller and are treated alike once more; the pairs that are still left are compared one
-by one. No pair of 0.8 or more that shares a band is passed over unless both
-sides are in one class already, and the rows of a group of near copies grow with its size. Links and classes stay
-distributed.
+bucket compares its pairs. In a large one all rows are compared with one pivot, and what sets them apart from it tells
+which other pairs can still be similar: with D(x) the symmetric difference of x and the pivot, x and y differ by just
+D(x) ^ D(y), so similar ones need |D(x) & D(y)| >= (|D(x)| + |D(y)| - c(|x| + |y|)) / 2 with c = (1 - s) / (1 + s). Rows that
+are similar to the pivot are one class, so one of the two isn't, and its D is large: the two must share a good part of
+their differences. That is a join of small sets with a known overlap: differences are ordered from rare to frequent, a
+prefix of them makes the next buckets, and a pair is compared only if the places at which it meets leave room for the
+overlap. Buckets of a pivot's neighbours are merged, so the work follows the number of rows, not of pairs; buckets that are
+still large take a pivot of their own, until none is left. No pair that shares a band and is similar is passed over unless
+both sides are in one class already. Links and classes stay distributed.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 5: a pair at similarity 0.8 is missed with probability (1 - 0.8**5) ** 32 = 3e-6.
 BANDS, BAND_ROWS = 32, 5
 COORDINATES = BANDS * BAND_ROWS
-#: A bucket of so many rows compares all its pairs of different classes.
-SMALL = 8
-#: Rounds in which large buckets compare with a leader; what these leave over compares all its pairs of different classes.
-STARS = 2
+#: Rows of a band's bucket, and of a bucket of differences, up to which pairs are looked at directly: work per row is bounded.
+SMALL, SMALL_NEXT = 8, 256
+#: Comparisons with one pivot that a task takes; a pivot with more has copies of its set in several tasks.
+FAN = 512
 #: Rows of two numbers that may be broadcast: about 32 MB. Larger ones are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -161,8 +162,9 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
-    """``node, shingles``: the sorted shingle hashes (32 bits, then counts if they weigh) of the nodes in ``wanted``.
+    """``node, shingles``: the sorted shingle hashes (32 bits) of the nodes in ``wanted``, as bytes.
 
+    If shingles weigh by their count, the n-th time of a shingle is an element of its own, which makes a bag a set.
     ``wanted`` has ``doc_id, tkey, node``, one row of the documents for each node.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("tkey"), text_of().cast("binary").alias("raw")).alias("d")
@@ -178,48 +180,39 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFram
                 sets = []
                 for raw in part.column(1).to_pylist():
                     s, c = shingles(words_of(raw))
-                    low, first = np.unique((s >> np.uint64(32)).astype(np.uint32), return_index=True)
-                    sets.append(low.tobytes() + (c[first].astype(np.uint32).tobytes() if weighting == "count" else b""))
+                    if weighting == "count" and len(s) and c.max() > 1:
+                        nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                        with np.errstate(over="ignore"):
+                            s = np.where(nth > 0, mixed(np.repeat(s, c) + nth.astype(np.uint64), 60), np.repeat(s, c))
+                    sets.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
         release()
 
     return rows.mapInArrow(run, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, similarity: float, weighting: str) -> DataFrame:
-    """For each pair ``a, b, large``: ``link`` (similar or not), ``size`` of a, ``inter`` with b, ``beyond``.
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """For each pair ``a, b, star``: ``link`` (similar or not), the sizes ``size`` and ``other``, ``apart``.
 
-    ``beyond`` is filled for large buckets: of a's shingles outside b, in hash order, a prefix so long that every set
-    similar to a that needs a shingle outside b shares one of them.
+    ``apart`` is filled for comparisons with a pivot: the shingles that only one of both has. A pivot that many rows are
+    compared with has copies of its set, so that no task gets all of them.
     """
-    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "large", "x", "y")
-
-    def look(x: bytes, y: bytes, large: bool):
-        import math
-
+    fans = pairs.where("star").groupBy("b").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("copies")).where("copies > 1")
+    fans = small_or_shuffled(stage(fans, "fans"))
+    left = pairs.join(fans, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    own = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    heads = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(fans, "b", "left").select("b", "y", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
+    rows = left.join(own, "a").join(heads, ["b", "salt"]).select("a", "b", "star", "x", "y")
+
+    def look(x: bytes, y: bytes, star: bool):
         import numpy as np
 
         a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        if weighting == "count":
-            n, m = len(a) // 2, len(b) // 2
-            of_a, of_b, a, b = a[n:].astype(np.int64), b[m:].astype(np.int64), a[:n], b[:m]
-        else:
-            of_a, of_b = np.ones(len(a), np.int64), np.ones(len(b), np.int64)
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        inter, size, other = int(np.minimum(of_a[i], of_b[j]).sum()), int(of_a.sum()), int(of_b.sum())
-        rest: list = []
-        if large:
-            # Weights beyond the leader's count, too, so that a shingle's surplus is something outside it.
-            left = of_a.copy()
-            left[i] = np.maximum(0, of_a[i] - of_b[j])
-            keys, amounts = a[left > 0], left[left > 0]
-            need = max(1, math.ceil(similarity * size - 1e-9) - inter)
-            # Without the last keys of less than `need` in all, no such set could get its share from them alone.
-            tail = np.cumsum(amounts[::-1])[::-1]
-            rest = keys[tail >= need].tolist()
-        return inter >= similarity * (size + other - inter), size, inter, rest
-
-    schema = "a bigint, b bigint, large boolean, link boolean, size bigint, inter bigint, beyond array<bigint>"
+        inter = len(np.intersect1d(a, b, assume_unique=True))
+        apart = np.setxor1d(a, b, assume_unique=True).tolist() if star else []
+        return inter >= similarity * (len(a) + len(b) - inter), len(a), len(b), apart
+
+    schema = "a bigint, b bigint, star boolean, link boolean, size bigint, other bigint, apart array<bigint>"
 
     def run(batches):
         import pyarrow as pa
@@ -274,53 +267,69 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return found if labels is None else stage(relabelled(labels, "label", found).unionByName(found.join(labels.select("node"), "node", "left_anti")), "merged")
 
 
-def linked(active: DataFrame, sets: DataFrame, similarity: float, weighting: str) -> DataFrame | None:
+def linked(active: DataFrame, sets: DataFrame, similarity: float) -> DataFrame | None:
     """``node, label`` of the classes of more than one node in the buckets ``active(bucket, node)``; None without any."""
     sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     weights = stage(active.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight")), "weights")
-    active, labels, turn = stage(active.withColumn("label", F.col("node")).join(weights, "node"), "active"), None, 0
-    while not active.isEmpty():
-        heads = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("head"))
-        rows = stage(active.join(heads, "bucket").select("bucket", "node", "label", ((F.col("n") > SMALL) & F.lit(turn < STARS)).alias("large"), (-F.col("head.m")).alias("head")), "rows")
-        star = rows.where("large AND node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct().withColumn("large", F.lit(True))
-        few = rows.where("NOT large")
-        pair = few.select("bucket", "node", "label").join(few.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb")), "bucket").where("label <> lb AND node < b")
-        pairs = star.union(pair.select(F.col("node").alias("a"), "b").distinct().withColumn("large", F.lit(False)))
-        looks = stage(compared(pairs, sets, similarity, weighting), "looks")
+    head = lambda: F.max(F.struct("weight", (-F.col("node")).alias("m")))
+    weighed = stage(active.join(weights, "node"), "weighed")
+    heads = stage(weighed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), head().alias("head")), "heads")
+    # Buckets around one text agree on its most connected neighbour as their pivot, whether it is in them or not.
+    wide = weighed.join(heads.where(F.col("n") > SMALL), "bucket").select("bucket", "node", "head")
+    hubs = wide.groupBy("node").agg(F.max("head").alias("hub"))
+    pivots = wide.join(hubs, "node").groupBy("bucket").agg((-F.max("hub")["m"]).alias("pivot"))
+    rows = weighed.join(pivots, "bucket", "left").select(
+        "bucket", "node", F.col("node").alias("label"), "pivot", F.lit(False).alias("near"), F.lit(False).alias("cross"), F.lit(0).cast("bigint").alias("left"), F.lit(0).cast("bigint").alias("apart"), F.lit(0).cast("bigint").alias("size")
+    )
+    labels, rows, c = None, stage(rows, "rows"), (1 - similarity) / (1 + similarity)
+    while not rows.isEmpty():
+        star = rows.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().withColumn("star", F.lit(True))
+        few = rows.where("pivot IS NULL").drop("pivot")
+        other = few.select("bucket", *[F.col(x).alias(f"{x}2") for x in ("node", "label", "near", "left", "apart", "size")])
+        # `left` is how many differences a row has from its place in the bucket on; the pair can share no more than that.
+        room = F.least("left", "left2") >= (F.col("apart") + F.col("apart2") - F.lit(c) * (F.col("size") + F.col("size2"))) / 2 - 1e-6
+        meet = few.join(other, "bucket").where("node < node2 AND label <> label2 AND NOT (near AND near2) AND (NOT cross OR near <> near2)").where(room)
+        pairs = stage(star.union(meet.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().withColumn("star", F.lit(False))), "pairs")
+        looks = stage(compared(pairs, sets, similarity), "looks")
         labels = merged(labels, looks.where("link").select("a", "b"))
-        active = stage(following(rows.where("large"), looks.where("large"), labels, weights, similarity), "active") if turn < STARS else active.limit(0)
-        turn += 1
+        rows = stage(following(rows.where("pivot IS NOT NULL"), looks.where("star"), labels, weights, similarity), "rows")
     return labels
 
 
 def following(rows: DataFrame, looks: DataFrame, labels: DataFrame | None, weights: DataFrame, similarity: float) -> DataFrame:
-    """The buckets in which rows that were compared with a leader go on: ``bucket, node, label, weight``."""
-    now = lambda df, c: df if labels is None else relabelled(df, c, labels)
+    """The buckets of differences in which rows that were compared with a pivot go on, in the columns of ``rows``."""
+    c = (1 - similarity) / (1 + similarity)
+    now = lambda df, name: df if labels is None else relabelled(df, name, labels)
     # Buckets that are of one class by now are done, and so are comparisons that no other bucket needs.
-    held = now(rows.select("bucket", "node", "head", F.col("node").alias("label")), "label")
+    held = now(rows.select("bucket", "node", "pivot", F.col("node").alias("label")), "label")
     open_ones = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    needed = held.join(open_ones, "bucket").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    at = stage(now(now(looks.join(needed, ["a", "b"]).withColumns({"la": F.col("a"), "lb": F.col("b")}), "la"), "lb"), "at")
-    # Which shingles stand in nodes of different classes at all, is found node by node, before leaders multiply them.
-    own = at.groupBy("a", "la").agg(F.array_distinct(F.flatten(F.collect_list("beyond"))).alias("keys")).select("a", "la", F.explode("keys").alias("key"))
-    common = own.groupBy("key").agg(F.min("la").alias("low"), F.max("la").alias("high")).where("low <> high").select("key")
-    mine = own.join(common, "key").groupBy("a").agg(F.collect_list("key").alias("keys"))
-    beyond = at.join(mine, "a").select(F.col("a").alias("node"), F.col("la").alias("label"), "b", F.explode(F.array_intersect("beyond", "keys")).alias("key")).select("node", "label", F.xxhash64("b", "key").alias("bucket"))
-    # Of x and y that are parts of the leader, similar ones have |x| + |y| <= (1 + 1 / similarity) * min(|x & p|, |y & p|).
-    part = at.where(F.col("inter") >= F.lit(similarity) * F.col("size") - 1e-6).withColumn("room", F.lit(1 + 1 / similarity) * F.col("inter") - F.col("size") + 1e-6)
-    limits = part.groupBy("b").agg(F.min("size").alias("least"), F.max(F.when(F.col("la") != F.col("lb"), F.col("room"))).alias("most"))
-    fits = part.join(limits, "b").where(F.when(F.col("la") != F.col("lb"), F.col("room") >= F.col("least")).otherwise(F.col("size") <= F.col("most")))
-    parts = fits.select(F.col("a").alias("node"), F.col("la").alias("label"), F.xxhash64("b", F.lit("parts")).alias("bucket"))
-    goes = beyond.unionByName(parts).distinct()
-    mixed_up = goes.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    return goes.join(mixed_up, "bucket").join(weights, "node").select("bucket", "node", "label", "weight")
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+    needed = held.join(open_ones, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    at = stage(now(looks.join(needed, ["a", "b"]).withColumn("label", F.col("a")), "label").withColumn("of", F.size("apart").cast("bigint")), "at")
+    each = at.select("a", "b", F.explode("apart").alias("key"))
+    often = each.groupBy("b", "key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    # Differences of one row alone come first in its order and meet nothing; the others follow by how many rows have them.
+    shared = each.join(often, ["b", "key"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
+    v_near, excess = (F.col("of") - c * (F.col("size") - F.col("other"))) / 2, F.col("of") - c * (F.col("size") + F.col("other"))
+    needs = lambda v: F.greatest(F.lit(1), F.floor(v + 1e-9) + 1)  # noqa: E731  the overlap is more than v
+    ordered = at.drop("apart").join(shared, ["a", "b"]).select(
+        F.col("a").alias("node"), "b", "label", F.col("link").alias("near"), "of", "size",
+        F.when(F.col("link"), needs(v_near)).otherwise(needs(excess / 2)).alias("need"), needs(c * F.col("other") + excess / 2).alias("need_far"),
+        F.posexplode("keys").alias("at", "entry"), (F.col("of") - F.size("keys")).alias("alone"),
+    )
+    placed = ordered.withColumn("left", F.col("of") - F.col("alone") - F.col("at"))
+    # Two rows far from the pivot need more in common, so a shorter prefix does; they have buckets of their own.
+    kinds = F.filter(F.array(F.struct(F.lit(True).alias("cross"), (F.col("left") >= F.col("need")).alias("goes")), F.struct(F.lit(False).alias("cross"), (~F.col("near") & (F.col("left") >= F.col("need_far"))).alias("goes"))), lambda k: k["goes"])
+    goes = placed.withColumn("kind", F.explode(kinds)).select(F.xxhash64("b", "entry.key", "kind.cross").alias("bucket"), "node", "label", "near", F.col("kind.cross").alias("cross"), "left", F.col("of").alias("apart"), "size")
+    goes = stage(goes.join(weights, "node"), "goes")
+    about = goes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("near").alias("some"), F.min("near").alias("every"), F.any_value("cross").alias("crossing"), F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("head")).where("low <> high AND (NOT crossing OR (some AND NOT every))")
+    return goes.join(about.select("bucket", F.when(F.col("n") > SMALL_NEXT, -F.col("head.m")).alias("pivot")), "bucket").select("bucket", "node", "label", "pivot", "near", "cross", "left", "apart", "size")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "count") -> DataFrame:
     """Classes of near-duplicate texts: ``doc_id, tkey, class_id, class_tkey, class_size``, a row for each row of ``docs``.
 
-    Texts are one class if links of Jaccard similarity ``similarity`` or more over their sets of five-word shingles (bags,
-    with ``weighting="count"``) connect them; case of A-Z and spacing don't count. ``class_id`` is the least id of the
+    Texts are one class if links of weighted Jaccard similarity ``similarity`` or more over their five-word shingles,
+    each weighing as often as it occurs (once, with ``weighting="set"``), connect them; case of A-Z and spacing don't count. ``class_id`` is the least id of the
     class (nulls last) and ``class_tkey`` the hash of that row's text; (class_id, class_tkey) names the row to keep.
 
     Texts of fewer than five words are one shingle. Null and empty texts, without any word, are copies of each other.
@@ -336,7 +345,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     active = stage(banded.join(shared, "bucket").select("bucket", "node"), "buckets")
     wanted = nodes.join(active.select("node").distinct(), "node").select("first.doc_id", "first.tkey", "node")
     sets = stage(shingle_sets(docs, wanted, weighting), "sets")
-    labels = linked(active, sets, similarity, weighting)
+    labels = linked(active, sets, similarity)
     known = nodes.select("k1", "k2", "first", "n", "node")
     if labels is not None:
         known = relabelled(known, "node", labels)
@@ -346,7 +355,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting:
     return rows.select("doc_id", "tkey", "k1", "k2").join(placed, ["k1", "k2"]).select("doc_id", "tkey", F.col("class.doc_id").alias("class_id"), F.col("class.tkey").alias("class_tkey"), "class_size")
 
 
-def without_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+def without_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "count") -> DataFrame:
     """``docs`` with one row of each class of ``near_duplicates``, in all their columns."""
     classes = stage(near_duplicates(docs, similarity, weighting), "classes")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tkey") == F.col("class_tkey"))

@@ -7,14 +7,20 @@ import pytest
 from maskwell.llm import dartminhash as dart
 
 
-def sets_of(text):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def brute(rows, similarity=0.8):
+def sets_of(text, weighting="count"):
+    """The five-word shingles; by count, the n-th time of a shingle is an element of its own."""
+    w, seen = (text or "").encode().lower().split(), defaultdict(int)
+    found = [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+    if weighting == "set":
+        return frozenset(found)
+    for s in found:
+        seen[s] += 1
+    return frozenset((s, k) for s, n in seen.items() for k in range(n))
+
+
+def brute(rows, similarity=0.8, weighting="count"):
     """Classes by comparing every pair."""
-    sets = [sets_of(t) for _, t in rows]
+    sets = [sets_of(t, weighting) for _, t in rows]
     up = list(range(len(rows)))
 
     def root(k):
@@ -63,25 +69,63 @@ def test_classes_match_brute_force(spark):
     assert dart.near_duplicates(docs.limit(0)).count() == 0 and dart.without_duplicates(docs.limit(0)).count() == 0
 
 
-def test_large_buckets_need_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("weighting", ["set", "count"])
+def test_large_buckets_need_rounds(spark, monkeypatch, weighting):
     monkeypatch.setattr(dart, "SMALL", 1)
+    monkeypatch.setattr(dart, "SMALL_NEXT", 2)
+    monkeypatch.setattr(dart, "FAN", 3)
     rows = corpus(random.Random(12))
+    lines = "the same old line of words again and again"
+    rows += [(5000 + k, " ".join([lines] * k)) for k in (1, 2, 30, 31, 40, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id, r.class_id, r.class_size) for r in dart.near_duplicates(docs).collect()) == brute(rows)
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in dart.near_duplicates(docs, weighting=weighting).collect()) == brute(rows, weighting=weighting)
 
 
-def test_one_group_of_many_edits(spark):
-    """Copies of one text with up to ten edits or cuts: links exist between some, far from all, of them."""
-    rng, rows = random.Random(13), []
+def one_group(n, seed):
+    rng, rows = random.Random(seed), []
     base = [f"w{rng.randrange(5000)}" for _ in range(120)]
-    for k in range(150):
+    for k in range(n):
         words = edited(rng, base, rng.randrange(0, 11))
         cut = rng.choice([0, 0, 0, 10, 25, 40])
         rows.append((k, " ".join(words[: len(words) - cut])))
+    return rows
+
+
+def test_one_group_of_many_edits(spark):
+    """Copies of one text with up to ten edits or cuts: links exist between some, far from all, of them."""
+    rows = one_group(150, 13)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id, r.class_size) for r in dart.near_duplicates(docs).collect()) == brute(rows)
 
 
+def test_comparisons_grow_with_rows(spark, monkeypatch):
+    """Comparisons for a group of near copies follow its size, not the square of it."""
+    made, compared = [], dart.compared
+
+    def counting(pairs, *args):
+        made[-1] += pairs.count()
+        return compared(pairs, *args)
+
+    monkeypatch.setattr(dart, "compared", counting)
+    for n in (100, 500):
+        rows = one_group(n, 14)
+        made.append(0)
+        got = dart.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == brute(rows)
+    assert made[1] < 9 * made[0], made
+
+
+def test_recall_of_every_fiftieth_id(spark):
+    """Of the similar pairs between ids divisible by 50 and all rows, the share that one class holds: all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, sets_of(r.text)) for r in docs.collect()]
+    place = {r.doc_id: r.class_id for r in dart.near_duplicates(docs).collect()}
+    pairs = [(a, b) for a, x in rows if a % 50 == 0 for b, y in rows if a != b and x and y and len(x & y) >= 0.8 * len(x | y)]
+    found = sum(place[a] == place[b] for a, b in pairs)
+    print(f"recall {found} of {len(pairs)}")
+    assert pairs and found >= 0.99 * len(pairs)
+
+
 @pytest.mark.parametrize("scale", [1.0, 0.5, 3.0])
 def test_signatures_estimate_weighted_similarity(scale):
     rng = np.random.default_rng(4)
