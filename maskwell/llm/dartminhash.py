@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 32, 5
 COORDINATES = BANDS * BAND_ROWS
 #: Rows of a band's bucket, and of a bucket of differences, up to which pairs are looked at directly: work per row is bounded.
-SMALL, SMALL_NEXT = 8, 256
+SMALL, SMALL_NEXT = 8, 1024
 #: Comparisons with one pivot that a task takes; a pivot with more has copies of its set in several tasks.
 FAN = 512
 #: Rows of two numbers that may be broadcast: about 32 MB. Larger ones are joined by a shuffle.
@@ -305,21 +305,19 @@ def following(rows: DataFrame, looks: DataFrame, labels: DataFrame | None, weigh
     open_ones = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     needed = held.join(open_ones, "bucket").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     at = stage(now(looks.join(needed, ["a", "b"]).withColumn("label", F.col("a")), "label").withColumn("of", F.size("apart").cast("bigint")), "at")
-    each = at.select("a", "b", F.explode("apart").alias("key"))
-    often = each.groupBy("b", "key").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    # Differences of one row alone come first in its order and meet nothing; the others follow by how many rows have them.
+    each = at.select("a", "b", "label", "link", F.explode("apart").alias("key"))
+    often = each.groupBy("b", "key").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("link").alias("every")).where("low <> high AND NOT every").select("b", "key", "f")
+    # Differences that no pair to be found can share come first in the order; the others follow by how many rows have them.
     shared = each.join(often, ["b", "key"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
-    v_near, excess = (F.col("of") - c * (F.col("size") - F.col("other"))) / 2, F.col("of") - c * (F.col("size") + F.col("other"))
+    near, excess = (F.col("of") - c * (F.col("size") - F.col("other"))) / 2, F.col("of") - c * (F.col("size") + F.col("other"))
     needs = lambda v: F.greatest(F.lit(1), F.floor(v + 1e-9) + 1)  # noqa: E731  the overlap is more than v
-    ordered = at.drop("apart").join(shared, ["a", "b"]).select(
-        F.col("a").alias("node"), "b", "label", F.col("link").alias("near"), "of", "size",
-        F.when(F.col("link"), needs(v_near)).otherwise(needs(excess / 2)).alias("need"), needs(c * F.col("other") + excess / 2).alias("need_far"),
-        F.posexplode("keys").alias("at", "entry"), (F.col("of") - F.size("keys")).alias("alone"),
-    )
-    placed = ordered.withColumn("left", F.col("of") - F.col("alone") - F.col("at"))
+    ordered = at.drop("apart").join(shared, ["a", "b"]).withColumns({"need": F.when(F.col("link"), needs(near)).otherwise(needs(excess / 2)), "need_far": F.when(~F.col("link"), needs(c * F.col("other") + excess / 2))})
     # Two rows far from the pivot need more in common, so a shorter prefix does; they have buckets of their own.
-    kinds = F.filter(F.array(F.struct(F.lit(True).alias("cross"), (F.col("left") >= F.col("need")).alias("goes")), F.struct(F.lit(False).alias("cross"), (~F.col("near") & (F.col("left") >= F.col("need_far"))).alias("goes"))), lambda k: k["goes"])
-    goes = placed.withColumn("kind", F.explode(kinds)).select(F.xxhash64("b", "entry.key", "kind.cross").alias("bucket"), "node", "label", "near", F.col("kind.cross").alias("cross"), "left", F.col("of").alias("apart"), "size")
+    entries = F.transform("keys", lambda e, i: F.struct(e["key"].alias("key"), (F.size("keys") - i).cast("bigint").alias("left")))
+    prefix = lambda cross, need: F.transform(F.filter(entries, lambda e: e["left"] >= F.col(need)), lambda e: F.struct(e["key"].alias("key"), e["left"].alias("left"), F.lit(cross).alias("cross")))
+    going = F.concat(prefix(True, "need"), F.when(F.col("link"), F.array().cast("array<struct<key:bigint,left:bigint,cross:boolean>>")).otherwise(prefix(False, "need_far")))
+    placed = ordered.select(F.col("a").alias("node"), "b", "label", F.col("link").alias("near"), F.col("of").alias("apart"), "size", F.inline(going))
+    goes = placed.select(F.xxhash64("b", "key", "cross").alias("bucket"), "node", "label", "near", "cross", "left", "apart", "size")
     goes = stage(goes.join(weights, "node"), "goes")
     about = goes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("near").alias("some"), F.min("near").alias("every"), F.any_value("cross").alias("crossing"), F.max(F.struct("weight", (-F.col("node")).alias("m"))).alias("head")).where("low <> high AND (NOT crossing OR (some AND NOT every))")
     return goes.join(about.select("bucket", F.when(F.col("n") > SMALL_NEXT, -F.col("head.m")).alias("pivot")), "bucket").select("bucket", "node", "label", "pivot", "near", "cross", "left", "apart", "size")
