@@ -5,11 +5,13 @@ Two facts about the vocabularies used here, checked by the tests against the lib
 * A *safe boundary* is a place before a space (U+0020) whose previous character is visible. Neither pre-tokenizer puts
   both sides of it into one piece, and neither looks back across it, so the tokens of a text are the tokens of its
   parts, one after the other.
-* Texts repeat their parts. A worker keeps the tokens of the parts that it met first, which are the frequent ones, and
-  encodes only the others.
+* Texts repeat their parts. Where ids are wanted, a worker keeps the tokens of the short parts that it met first, up to a
+  number of bytes, and encodes only the others.
 
-Huge texts are cut into overlapping chunks. Each chunk is encoded with offsets, and two neighbours are spliced at a safe
-boundary inside their overlap at which both have a token boundary. Where an overlap has no such place, it is widened.
+Counts go through overlap resynchronisation: texts of more than a chunk are cut into overlapping chunks, each is encoded
+with offsets, and two neighbours are spliced at a safe boundary inside their overlap at which both have a token boundary.
+Where an overlap has no such place, it is widened. A chunk is a few thousand characters, so that ordinary long documents
+are spliced, too, and an encoder never holds more than that unless a text has no safe boundary.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from .common import map_slices, table, text_of
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Characters of a chunk and of its first overlap; texts up to a chunk are encoded in one go.
-CHUNK, OVERLAP = 65536, 256
-#: Parts whose tokens a worker keeps.
-MEMO = 400_000
+CHUNK, OVERLAP = 4096, 128
+#: Characters and ids, in bytes, that a worker keeps for known parts, and the longest part that it keeps.
+MEMO_BYTES, MEMO_PART = 24 << 20, 64
 
 #: A space after a character that is certainly visible: no separator, control or format character of any kind.
 SAFE = re.compile(r"(?<=[!-~¡-¬®-˿Ͱ-ͷΆ-ҁҊ-ԯ]) ")
@@ -66,6 +68,14 @@ class Coder:
         self.drops_space = self.library.normalizer is not None  # the word vocabulary; the byte vocabulary keeps spaces
         self.memo: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.room = MEMO_BYTES
+
+    def keep(self, known: dict[str, bytes], part: str, ids: bytes) -> None:
+        """Remember the ids of a short part while there is room; an entry takes about 200 bytes beside its content."""
+        size = 200 + len(part) + len(ids)
+        if len(part) <= MEMO_PART and size <= self.room:
+            known[part] = ids
+            self.room -= size
 
     @classmethod
     def at(cls, path: str) -> Coder:
@@ -93,8 +103,7 @@ class Coder:
         ids = self.runs.get(key)
         if ids is None:
             ids = array("I", [t.id for t in self.model.tokenize(key.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            if len(self.runs) < MEMO:
-                self.runs[key] = ids
+            self.keep(self.runs, key, ids)
         if tail:
             mark = self.runs.get(tail)
             if mark is None:
@@ -116,8 +125,7 @@ class Coder:
             ids = memo.get(part)
             if ids is None:
                 ids = self.part_ids(part)
-                if len(memo) < MEMO:
-                    memo[part] = ids
+                self.keep(memo, part, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -126,22 +134,21 @@ class Coder:
         found = self.library.encode(text, add_special_tokens=False)
         return found.ids, [a for a, _ in found.offsets]
 
-    def ids(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
-        """The ids of a text of any length, with bounded memory for the encoder."""
-        if len(text) <= chunk:
-            return self.small(text)
-        out: list[bytes] = []
-        for ids, _ in self.spliced(text, chunk, overlap):
-            out.append(array("I", ids).tobytes())
-        return b"".join(out)
+    def ids(self, text: str) -> bytes:
+        """The ids of a text of any length, by its parts."""
+        return self.small(text)
 
-    def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int, int]:
+        """Tokens of a text, and how many splices and widenings it took to count them."""
         if len(text) <= chunk:
-            return len(self.small(text)) // 4
-        return sum(len(ids) for ids, _ in self.spliced(text, chunk, overlap))
+            return len(self.library_ids(text)), 0, 0
+        tokens, chunks, widened = 0, 0, 0
+        for ids, _, more in self.spliced(text, chunk, overlap):
+            tokens, chunks, widened = tokens + len(ids), chunks + 1, widened + more
+        return tokens, chunks - 1, widened
 
     def spliced(self, text: str, chunk: int, overlap: int):
-        """Yield (ids, place of the splice after them) for each chunk of the text in turn.
+        """Yield (ids, place of the splice after them, widenings) for each chunk of the text in turn.
 
         ``begin`` is the last splice. The chunk from there on and the one after it share ``wide`` characters. The splice
         is the last safe boundary in the shared part at which the first chunk has a token boundary, and the second
@@ -150,21 +157,21 @@ class Coder:
         """
         begin, n = 0, len(text)
         while begin < n:
-            wide, end = overlap, min(n, begin + chunk)
+            wide, end, more = overlap, min(n, begin + chunk), 0
             ids, at = self.chunk(text[begin:end])
             while end < n:
                 shared = max(begin + 1, end - wide)
                 splice = self.splice(text, begin, shared, end, ids, at)
                 if splice is not None:
                     break
-                wide *= 2
+                wide, more = 2 * wide, more + 1
                 if wide > end - begin:  # no place in the whole chunk: it grows
                     end = min(n, end + wide)
                     ids, at = self.chunk(text[begin:end])
             if end == n:
-                yield ids, n
+                yield ids, n, more
                 return
-            yield ids[: sum(1 for a in at if begin + a < splice)], splice
+            yield ids[: sum(1 for a in at if begin + a < splice)], splice, more
             begin = splice
 
     def splice(self, text: str, begin: int, shared: int, end: int, ids: list[int], at: list[int]) -> int | None:
@@ -183,19 +190,21 @@ class Coder:
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
+    """``doc_id, n_bytes, n_tokens, over_limit, n_splices, n_widened`` for every row of ``docs``.
 
-    Null and empty texts have no bytes and no tokens. Repeated rows give equal rows, an empty table none; other columns
-    are not read. ``path`` is a tokenizers file; without it, each worker looks up ``byte_bpe_50k.json``.
+    ``n_splices`` and ``n_widened`` say how many chunk boundaries the count was put together at, and how often an overlap
+    had to be widened for one. Null and empty texts have no bytes and no tokens. Repeated rows give equal rows, an empty
+    table none; other columns are not read. ``path`` is a tokenizers file; without it, each worker looks up
+    ``byte_bpe_50k.json``.
     """
 
     def run(rows: dict) -> dict:
         coder = Coder.at(path or tokenizer_path(BYTE_BPE))
         counts = [coder.count(t) for t in rows["text"]]
-        return {"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": counts, "over_limit": [n > limit for n in counts]}
+        return {"doc_id": rows["doc_id"], "n_bytes": rows["n_bytes"], "n_tokens": [c[0] for c in counts], "over_limit": [c[0] > limit for c in counts], "n_splices": [c[1] for c in counts], "n_widened": [c[2] for c in counts]}
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), F.octet_length(text_of()).cast("bigint").alias("n_bytes"))
-    return map_slices(plain, run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_slices(plain, run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, n_splices bigint, n_widened bigint")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

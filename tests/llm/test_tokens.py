@@ -35,8 +35,8 @@ def test_chunks_are_spliced(name):
     for k in range(300):
         bits = BITS if k % 3 else ["x", "日", "\n", "12", "é"]
         text = "".join(rng.choice(bits) + rng.choice(["", " ", " "] if k % 3 else [""]) for _ in range(rng.randrange(300)))
-        assert list(array("I", coder.ids(text, chunk=64, overlap=4))) == library(name, text), repr(text)
-        assert coder.count(text, chunk=64, overlap=4) == len(library(name, text))
+        assert [k for ids, _, _ in coder.spliced(text, 64, 4) for k in ids] == library(name, text), repr(text)
+        assert coder.count(text, chunk=64, overlap=4)[0] == len(library(name, text))
 
 
 def test_counts(spark):
@@ -46,11 +46,28 @@ def test_counts(spark):
     for k, t in enumerate(texts):
         n = len(library(tokens.BYTE_BPE, t or ""))
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len((t or "").encode()), n > 1024)
+    assert got[4].n_splices > 30 and got[4].n_widened == 0 and got[5].n_splices == 0 and got[5].n_widened > 0
     assert tokens.token_counts(docs.limit(0)).count() == 0
 
 
+def test_ordinary_documents_are_spliced(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in tokens.token_counts(docs).collect()}
+    for row in docs.toLocalIterator():
+        assert got[row.doc_id].n_tokens == len(library(tokens.BYTE_BPE, row.text or ""))
+    assert sum(r.n_splices > 0 for r in got.values()) > len(got) // 20
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_real_texts(spark, name):
     coder = tokens.Coder.at(tokens.tokenizer_path(name))
     for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").toLocalIterator():
         assert list(array("I", coder.ids(row.text))) == library(name, row.text)
+
+
+def test_known_parts_take_bounded_bytes():
+    coder = tokens.Coder(tokens.tokenizer_path(tokens.BYTE_BPE))
+    coder.room = 3000
+    for k in range(200):
+        coder.ids(f"part{k} 第{k}部分{'文' * 100} x")
+    assert 0 <= coder.room < 3000 and all(len(p) <= tokens.MEMO_PART for p in [*coder.memo, *coder.runs])
