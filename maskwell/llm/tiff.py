@@ -1,7 +1,8 @@
 """TIFF as a media column: write pages, walk image directories, decode strips and tiles, one row per page.
 
 Written from the public TIFF 6.0 description and its Deflate supplement. The reader takes both byte orders, strips and
-tiles, no compression, PackBits, LZW and Deflate, and the horizontal predictor for 8- and 16-bit samples.
+tiles, chunky and planar samples of 1 to 16 bits, no compression, PackBits, LZW and Deflate, and the horizontal predictor
+for 8- and 16-bit samples. What it unpacks is bounded by the sizes that a directory states, and these by ``MAX_PAGE``.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 from .common import map_slices, table, text_of
 
 # Fixed values of the TIFF format: tags, compressions, field types with their sizes.
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_AT, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 #: The pages that documents are stored in: samples in a row, rows in a page, a strip and a tile.
 ROW, PAGE_ROWS, CHUNK_ROWS = 64, 1024, 256
+#: Bytes of a page's samples at most; a directory that states more is a fault.
+MAX_PAGE = 1 << 28
 
 
 def packbits(data: bytes) -> bytes:
@@ -50,9 +53,9 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
+def unpackbits(data: bytes, most: int = MAX_PAGE) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < most:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -105,8 +108,8 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
-    table, width, before, out = [], 9, None, []
+def unlzw(data: bytes, most: int = MAX_PAGE) -> bytes:
+    table, width, before, out, size = [], 9, None, [], 0
     bits = held = 0
     for byte in data:
         held, bits = (held << 8) | byte, bits + 8
@@ -130,6 +133,9 @@ def unlzw(data: bytes) -> bytes:
                 entry = table[code] if code < len(table) else before + before[:1]
                 table.append(before + entry[:1])
             out.append(entry)
+            size += len(entry)
+            if size >= most:
+                break
             before = entry
             if len(table) + 1 >= (1 << width) and width < 12:
                 width += 1
@@ -140,12 +146,13 @@ def compressed(data: bytes, how: int) -> bytes:
     return {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda x: zlib.compress(x, 6)}[how](data)
 
 
-def decompressed(data: bytes, how: int) -> bytes:
+def decompressed(data: bytes, how: int, most: int = MAX_PAGE) -> bytes:
+    """At least ``most`` bytes of what was compressed, if there are so many; not much more."""
     if how in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, most)
     if how not in (NONE, PACKBITS, LZW):
         raise ValueError(f"compression {how} is not supported")
-    return {NONE: bytes, PACKBITS: unpackbits, LZW: unlzw}[how](data)
+    return data[:most] if how == NONE else {PACKBITS: unpackbits, LZW: unlzw}[how](data, most)
 
 
 def differences(data: bytes, row: int) -> bytes:
@@ -237,25 +244,39 @@ def read_tiff(media: bytes):
 
 
 def decoded(media: bytes, fields: dict, order: str) -> dict:
-    """The samples of one directory."""
+    """The samples of one directory, chunky; samples of fewer than 8 bits get a byte each."""
     import numpy as np
 
     one = lambda tag, least: fields.get(tag, (least,))[0]
-    width, height, bits, samples, how, predictor = one(WIDTH, 0), one(LENGTH, 0), one(BITS, 1), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2) or len(set(fields.get(BITS, (bits,)))) > 1:
-        raise ValueError("only 8- and 16-bit samples, plain or with the horizontal predictor, are supported")
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(np.uint16).newbyteorder(order)
+    width, height, bits, samples, how, predictor, planar = one(WIDTH, 0), one(LENGTH, 0), one(BITS, 1), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
+    if bits not in (1, 2, 4, 8, 16) or predictor not in (1, 2) or predictor == 2 and bits < 8 or planar not in (1, 2) or len(set(fields.get(BITS, (bits,)))) > 1:
+        raise ValueError("samples must have 1, 2, 4, 8 or 16 bits, all the same, with the horizontal predictor from 8 on")
     tiled = TILE_AT in fields
     wide, high = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(STRIP_ROWS, height), height))
-    across = -(-width // wide)
+    if min(width, height, samples, wide, high) < 1 or max(width * height, wide * high) * samples * 2 > MAX_PAGE:
+        raise ValueError(f"a page of {width} x {height} x {samples} samples in parts of {wide} x {high}")
+    kind = np.dtype(np.uint16).newbyteorder(order) if bits == 16 else np.dtype(np.uint8)
+    across, down = -(-width // wide), -(-height // high)
+    planes, depth = (samples, 1) if planar == 2 else (1, samples)  # parts a place, samples of a pixel in a part
+    where = fields[TILE_AT if tiled else STRIP_AT]
+    if len(where) != across * down * planes:
+        raise ValueError(f"{len(where)} parts instead of {across * down * planes}")
     image = np.zeros((height, width, samples), kind.newbyteorder("<"))
-    for k, (at, size) in enumerate(zip(fields[TILE_AT if tiled else STRIP_AT], fields[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
-        top, left = k // across * high, k % across * wide
+    for k, (at, size) in enumerate(zip(where, fields[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
+        plane, place = divmod(k, across * down)
+        top, left = place // across * high, place % across * wide
         rows = high if tiled else min(high, height - top)
-        part = np.frombuffer(decompressed(media[at : at + size], how), kind, rows * wide * samples).reshape(rows, wide, samples)
+        row_bytes = -(-wide * depth * bits // 8)
+        data = decompressed(media[at : at + size], how, rows * row_bytes)
+        if bits < 8:
+            each = np.unpackbits(np.frombuffer(data, np.uint8, rows * row_bytes).reshape(rows, row_bytes), axis=1).reshape(rows, -1, bits)
+            part = (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)[:, : wide * depth]
+        else:
+            part = np.frombuffer(data, kind, rows * wide * depth)
+        part = part.reshape(rows, wide, depth)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=part.dtype.newbyteorder("="))
-        image[top : top + rows, left : left + wide] = part[: height - top, : width - left]
+        image[top : top + rows, left : left + wide, plane : plane + depth] = part[: height - top, : width - left]
     return {"width": width, "height": height, "bits": bits, "samples": samples, "compression": how, "predictor": predictor, "pixels": image.tobytes()}
 
 
@@ -265,8 +286,9 @@ PAGE_SCHEMA = "page int, width int, height int, bits int, samples int, compressi
 def media_pages(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row per page of each file in the binary column ``media``: the ``key`` column and ``PAGE_SCHEMA``.
 
-    A null file has no rows. A file that can't be read has one row more with null fields and the reason in ``error``;
-    pages before the fault stay. Repeated rows are read once each; other columns are not read.
+    A null file has no rows, an empty table none. A file that can't be read has one row more with null fields and the
+    reason in ``error``; pages before the fault stay. Repeated rows are read once each; other columns are not read. A key
+    column that is named like one of ``PAGE_SCHEMA`` comes out as ``key``.
     """
     kind = df.schema[key].dataType.simpleString()
 
@@ -287,27 +309,22 @@ def media_pages(df: DataFrame, key: str, media: str) -> DataFrame:
                 put(k, {"error": str(error) or type(error).__name__})
         return out
 
-    return map_slices(df.select(F.col(key).alias("key"), F.col(media).alias("media")), read, f"key {kind}, {PAGE_SCHEMA}", rows=16).withColumnRenamed("key", key)
+    return map_slices(df.select(F.col(key).alias("key"), F.col(media).alias("media")), read, f"key {kind}, {PAGE_SCHEMA}", rows=16).withColumnRenamed("key", "key" if f" {key} " in f" {PAGE_SCHEMA} " else key)
 
 
 def stored(payload: bytes) -> bytes:
     """The payload as a TIFF file of one or more pages.
 
-    Pages hold up to 1,024 rows of 64 samples. Their kind goes by size, so that equal texts have equal files: PackBits
-    strips up to 256 bytes, LZW strips up to 1,024, Deflate strips up to half a page, and beyond that Deflate tiles
-    with the horizontal predictor.
+    Pages hold up to 1,024 rows of 64 samples. How a page is stored goes by the crc32 of its samples, so that equal texts
+    have equal files and every codec gets pages of all sizes: of 16 pages on average 2 are LZW, 3 PackBits and 11 Deflate,
+    in strips and in tiles, plain and with the horizontal predictor.
     """
-    pages, step = [], ROW * PAGE_ROWS
+    pages, step, tile = [], ROW * PAGE_ROWS, (ROW, CHUNK_ROWS)
     for k in range(0, len(payload), step):
         data = payload[k : k + step]
-        if len(data) <= 256:
-            pages.append(Page(data, ROW, PACKBITS))
-        elif len(data) <= 1024:
-            pages.append(Page(data, ROW, LZW))
-        elif len(data) <= step // 2:
-            pages.append(Page(data, ROW, DEFLATE))
-        else:
-            pages.append(Page(data, ROW, DEFLATE, 2, (ROW, CHUNK_ROWS)))
+        kind = zlib.crc32(data) % 16
+        how = LZW if kind < 2 else PACKBITS if kind < 5 else DEFLATE
+        pages.append(Page(data, ROW, how, 2 if how == DEFLATE and kind % 3 == 0 or kind == 1 else 1, tile if kind % 2 else None))
     return write_tiff(pages)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import pytest
@@ -57,6 +58,115 @@ def test_faults_are_rows(spark):
     assert sorted(r.id for r in got if r.error) == [2, 5]
 
 
+def raw_page(width, height, bits, samples, parts, strip_rows=None, planar=1, how=tiff.NONE):
+    """A file of one page whose strips are given as stored; every field is a long."""
+    out, at = bytearray(b"II*\0\0\0\0\0"), []
+    for p in parts:
+        at.append(len(out))
+        out += p
+    fields = {256: [width], 257: [height], 258: [bits], 259: [how], 273: at, 277: [samples], 278: [strip_rows or height], 279: [len(p) for p in parts], 284: [planar]}
+    entries = b""
+    for tag, values in sorted(fields.items()):
+        data = struct.pack(f"<{len(values)}I", *values)
+        if len(data) > 4:
+            where, data = len(out), data
+            out += data
+            data = struct.pack("<I", where)
+        entries += struct.pack("<HHI", tag, 4, len(values)) + data
+    struct.pack_into("<I", out, 4, len(out))
+    return bytes(out + struct.pack("<H", len(fields)) + entries + b"\0\0\0\0")
+
+
+def test_bilevel_and_planar_pages():
+    [page] = tiff.read_tiff(raw_page(10, 2, 1, 1, [tiff.packbits(bytes([0b10110000, 0b01000000, 0b11111111, 0b11000000]))], how=tiff.PACKBITS))
+    assert list(page["pixels"]) == [1, 0, 1, 1, 0, 0, 0, 0, 0, 1] + [1] * 10
+    [page] = tiff.read_tiff(raw_page(3, 1, 4, 1, [bytes([0x1F, 0x70])]))
+    assert list(page["pixels"]) == [1, 15, 7]
+    [page] = tiff.read_tiff(raw_page(2, 2, 8, 3, [bytes([1, 2]), bytes([3, 4]), bytes([5, 6]), bytes([7, 8]), bytes([9, 10]), bytes([11, 12])], strip_rows=1, planar=2))
+    assert list(page["pixels"]) == [1, 5, 9, 2, 6, 10, 3, 7, 11, 4, 8, 12]
+
+
+def test_malformed_files_are_error_rows(spark):
+    files = [
+        raw_page(0, 4, 8, 1, [b"abcd"]), raw_page(4, 0, 8, 1, [b"abcd"]), raw_page(1 << 31, 1 << 31, 8, 1, [b"abcd"]), raw_page(4, 1, 8, 1, [b"ab"]), raw_page(4, 1, 8, 1, [b"abcd", b"e"]),
+        raw_page(4, 1, 32, 1, [b"abcd" * 4]), raw_page(4, 1, 8, 0, [b"abcd"]), raw_page(4, 1, 8, 1, [b"abcd"], how=77), raw_page(4, 1, 8, 1, [b"abcd"], how=tiff.LZW), raw_page(4, 1, 8, 1, [b"abcd"], how=tiff.DEFLATE),
+    ]
+    got = tiff.media_pages(spark.createDataFrame(list(enumerate(files)), "page long, media binary"), "page", "media").collect()
+    assert sorted(r.key for r in got) == list(range(len(files))) and all(r.error and r.pixels is None for r in got)
+    assert len(tiff.decompressed(zlib.compress(bytes(10**7)), tiff.DEFLATE, 1000)) == 1000
+    empty = spark.createDataFrame([], "id long, media binary")
+    assert tiff.media_pages(empty, "id", "media").collect() == []
+
+
+def walk(media):
+    """(compression, predictor, tiled, samples) of each page of little-endian grey 8-bit files, by a reader of its own."""
+    def u32(k):
+        return int.from_bytes(media[k : k + 4], "little")
+
+    def codes(data):
+        number, n, width, size = int.from_bytes(data, "big"), len(data) * 8, 9, 258
+        while n >= width:
+            n -= width
+            code = number >> n & (1 << width) - 1
+            yield code
+            size = 258 if code == 256 else size + 1
+            width = 9 if code == 256 else 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
+            if code == 257:
+                return
+
+    def plain(data, how):
+        out, k = b"", 0
+        if how == 8:
+            return zlib.decompress(data)
+        if how == 32773:
+            while k < len(data):
+                out, k = (out + data[k + 1 : k + 2 + data[k]], k + 2 + data[k]) if data[k] < 128 else (out + data[k + 1 : k + 2] * (257 - data[k]), k + 2)
+            return out
+        known, last = {}, b""
+        for code in codes(data):
+            if code == 256:
+                known, last = {b: bytes([b]) for b in range(256)}, b""
+            elif code != 257:
+                now = known.get(code, last + last[:1])
+                if last:
+                    known[258 + len(known) - 256] = last + now[:1]
+                last, out = now, out + now
+        return out
+
+    at = u32(4)
+    while at:
+        n = int.from_bytes(media[at : at + 2], "little")
+        f = {}
+        for k in range(n):
+            e = at + 2 + 12 * k
+            count = u32(e + 4)
+            f[int.from_bytes(media[e : e + 2], "little")] = [u32((e + 8 if count == 1 else u32(e + 8)) + 4 * j) for j in range(count)]
+        where, sizes, (width,), (height,) = f.get(324) or f[273], f.get(325) or f[279], f[256], f[257]
+        data = b"".join(plain(media[a : a + s], f[259][0]) for a, s in zip(where, sizes))[: width * height]
+        if f[317] == [2]:
+            data = b"".join(bytes(sum(data[r + c0] for c0 in range(c + 1)) % 256 for c in range(width)) for r in range(0, len(data), width))
+        yield f[259][0], f[317][0], 324 in f, data
+        at = u32(at + 2 + 12 * n)
+
+
+def test_stored_files_by_another_reader(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["lorem ", "ipsum ", "é", "\n", "aaaaaaaa", str(rng.random())]) for _ in range(rng.choice([1, 20, 300, 1500]))) for _ in range(120)]
+    rows = {r.doc_id: r for r in tiff.documents_as_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kinds = set()
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        payload = raw + bytes(-len(raw) % 64)
+        media = tiff.stored(payload)
+        pages = list(walk(media))
+        assert b"".join(p[3] for p in pages) == payload
+        kinds |= {(p[0], p[2]) for p in pages if len(p[3]) > 1024}
+        counts = [sum(32 * e <= b < 32 * e + 32 for b in payload) for e in range(8)]
+        feature = f"pages={len(pages)};rows={len(payload) // 64};sum={sum(payload)};hist={','.join(map(str, counts))}"
+        assert (rows[k].media_bytes, rows[k].media_sha256, rows[k].feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+    assert kinds == {(how, tiled) for how in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE) for tiled in (False, True)}
+
+
 def test_documents(spark):
     texts = [None, "", "short", "é" * 700, "long text " * 20000, "short", "x" * 64]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id long, text string, feature string")
