@@ -9,7 +9,9 @@ its share of the text's length, and whether there is any at all, give the score
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,29 +20,41 @@ from pyspark.sql import functions as F
 from .common import map_slices, table, text_of
 from .labelled import TRAIN_ROWS, held_out, logistic, training_rows
 
-# Letters that look like Latin ones, and what digits and signs stand for inside words.
-HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁɡіοαερτυνκɑƖ０１２３４５６７８９", "aeopcyxijshdgioaeptuvkal0123456789")
-FULL_WIDTH = {0xFF21 + k: chr(97 + k) for k in range(26)} | {0xFF41 + k: chr(97 + k) for k in range(26)}
+# Letters of other scripts and their Latin look-alikes, after Unicode's lists of confusable characters and,
+# for Cyrillic and Greek, common transliteration; what digits and signs stand for inside words.
+LOOKS_LIKE = {
+    "абвгдезиіїјкӏмнорстуүхшѕһԁԛԝѵьё": "abvrdezuiijklmhopctyyxwshdqwvbe",
+    "αβγδεζηικμνοπρστυχω": "abydeznikuvonpotuxw",
+    "ɑɡıɩʀɴɢʜɪʟʏʙᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢꜰꜱøđłŧħɓɗɛɔ": "agiirnghilybacdejkmoptuvwzfsodlthbdeo",
+    "օսոհցզ": "ounhgq",
+}
+WRITTEN_AS = {"ß": "ss", "æ": "ae", "œ": "oe", "ƨ": "s"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
+#: Marks that combine with a letter, and characters without a width.
+UNSEEN = re.compile("[\u0300-\u036f\u0483-\u0487\u00ad\u200b-\u200f\u2060\ufeff]")
 #: Harmless phrases around words of the lexicon.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "pond scum", "soap scum", "clown fish", "sore loser bracket", "idiot proof")
 
-FOLD = HOMOGLYPHS | FULL_WIDTH
-#: A word with digits or signs before letters.
-SUBSTITUTED = re.compile(r"[^\W\d_]*(?:[0134578@$!]+[^\W\d_]+)+")
+FOLD = {ord(a): b for odd, plain in LOOKS_LIKE.items() for a, b in zip(odd, plain, strict=True)} | {ord(a): b for a, b in WRITTEN_AS.items()}
+#: A word with digits or signs before letters, or with two at its end.
+SUBSTITUTED = re.compile(r"[^\W\d_]*(?:[0134578@$!]+[^\W\d_]+)+(?:[0134578@$]{1,2}(?!\w))?|[^\W\d_]+[0134578@$]{2}(?!\w)")
 STANDS_FOR = str.maketrans(DIGITS)
-BREAKS = re.compile(r"[\W_]+")
-LONGEST, MOST_TERMS, LEAST_G2 = 8, 3000, 24.0
+#: What parts words, and where a number begins at the end of one.
+BREAKS, NUMBER = re.compile(r"[\W_]+"), re.compile(r"(?<=[^\W\d_])(?=\d)")
+LONGEST, LEAST_G2 = 8, 24.0
 
 
 def folded(text: str) -> str:
-    """Folded words, one space around each."""
+    """Folded words, one space around each.
+
+    Compatibility forms (full-width, mathematical, small letters) become plain ones, marks on letters and characters
+    without a width go, look-alikes become Latin, and digits and signs inside a word are read as letters.
+    """
     text = text.lower()
     if not text.isascii():
-        text = ZERO_WIDTH.sub("", text).translate(FOLD)
+        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text)).lower().translate(FOLD)
     text = SUBSTITUTED.sub(lambda m: m[0].translate(STANDS_FOR), text)
-    return f" {BREAKS.sub(' ', text).strip()} "
+    return f" {BREAKS.sub(' ', NUMBER.sub(' ', text)).strip()} "
 
 
 def terms_of(text: str) -> set[str]:
@@ -53,6 +67,10 @@ def terms_of(text: str) -> set[str]:
     return found
 
 
+#: In place of a weight: the match is an exception phrase. Weights of terms are positive.
+EXEMPT = -1.0
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float]
@@ -66,7 +84,7 @@ class Lexicon:
         for term, weight in self.weights.items():
             found.add_word(term, (len(term), weight))
         for phrase in self.exceptions:
-            found.add_word(f" {phrase} ", (len(phrase) + 2, None))
+            found.add_word(f" {phrase} ", (len(phrase) + 2, EXEMPT))
         if len(found):
             found.make_automaton()
         return found
@@ -74,27 +92,23 @@ class Lexicon:
     def features(self, text: str, automaton) -> tuple[float, float, float]:
         """Weight found (log scale), its share of the words, and whether there is any."""
         text = folded(text)
-        hits = list(automaton.iter(text)) if len(automaton) else []
-        exempt = [(end - n + 1, end) for end, (n, weight) in hits if weight is None]
-        total = 0.0
-        for end, (n, weight) in hits:
-            if weight is not None and not any(a <= end - n + 1 and end <= b for a, b in exempt):
+        hits = sorted((end - n + 1, end, weight) for end, (n, weight) in automaton.iter(text)) if len(automaton) else []
+        # One sweep: a match lies in a phrase if one of those that begin at or before it also ends at or after it.
+        total, phrases, k, reach = 0.0, sorted((a, b) for a, b, weight in hits if weight == EXEMPT), 0, -1
+        for begin, end, weight in hits:
+            while k < len(phrases) and phrases[k][0] <= begin:
+                reach, k = max(reach, phrases[k][1]), k + 1
+            if weight != EXEMPT and end > reach:
                 total += weight
-        import math
-
         return math.log1p(total), min(1.0, total / max(1, text.count(" ") - 1)), float(total > 0)
 
     def score(self, features) -> float:
-        import math
-
         z = sum(w * x for w, x in zip(self.regression, (*features, 1.0), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def chosen_terms(rows, toxic: int, clean: int) -> dict[str, float]:
     """Of (term, texts with it that are toxic, that are clean) the significant ones; none begins with another."""
-    import math
-
     def g2(a: int, b: int) -> float:
         share, out = (a + b) / (toxic + clean), 0.0
         for n, of in ((a, toxic), (b, clean)):
@@ -148,7 +162,11 @@ def learnt(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXC
         yield from put()
 
     counts = rows.select("text", "label").mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    likely = counts.where((F.col("a") >= 4) & (F.col("a") * clean > 8 * (F.col("b") + 0.5) * toxic)).orderBy(F.desc("a"), "term").limit(MOST_TERMS)
+    share = (F.col("a") + F.col("b")) / (toxic + clean)
+    tells = lambda x, n, p: F.when(x > 0, 2 * x * F.log(x / (n * p))).otherwise(0.0)
+    g2 = tells(F.col("a"), toxic, share) + tells(toxic - F.col("a"), toxic, 1 - share) + tells(F.col("b"), clean, share) + tells(clean - F.col("b"), clean, 1 - share)
+    # The significant terms, all of them: their number is bounded by the words of the training rows, of which there are `most`.
+    likely = counts.where((F.col("a") * clean > 8 * (F.col("b") + 0.5) * toxic) & (g2 >= LEAST_G2 - 1e-6))
     lexicon.weights = chosen_terms([(r.term, r.a, r.b) for r in likely.collect()], toxic, clean)
     found = weighed(rows.withColumn("doc_id", F.col("label")), lexicon).toArrow()  # at most `most` rows of four numbers
     x = np.c_[[found[c].to_numpy() for c in ("f0", "f1", "f2")]].T
@@ -157,7 +175,7 @@ def learnt(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXC
 
 
 def weighed(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``doc_id, f0, f1, f2, score`` for each row. The lexicon has at most ``MOST_TERMS`` terms."""
+    """``doc_id, f0, f1, f2, score`` for each row. The lexicon is bounded by its training rows."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     ready: dict = {}
 
