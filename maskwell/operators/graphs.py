@@ -99,15 +99,24 @@ def check_1e(spark, sf_dir):
     return edges(spark, sf_dir).where("src = dst").select("layer", "src")
 
 
-@query("check_1f_duplicates", f"{WITH} SELECT layer, src, dst, count(*) AS n FROM edges GROUP BY ALL HAVING count(*) > 1")
+FAULTY = "faulty AS (SELECT * FROM edges UNION ALL SELECT * FROM edges WHERE src % 70 = 3)"
+
+
+def faulty_edges(spark, sf_dir) -> DataFrame:
+    """The graph with every neighbour of some nodes listed twice."""
+    e = edges(spark, sf_dir)
+    return e.union(e.where("src % 70 = 3"))
+
+
+@query("check_1f_duplicates", f"{WITH}, {FAULTY} SELECT layer, src, dst, count(*) AS n FROM faulty GROUP BY ALL HAVING count(*) > 1")
 def check_1f(spark, sf_dir):
-    return edges(spark, sf_dir).groupBy("layer", "src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return faulty_edges(spark, sf_dir).groupBy("layer", "src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query("check_1g_degree", f"{WITH} SELECT layer, dst AS serial, count(*) AS n FROM edges GROUP BY ALL HAVING count(*) > CASE WHEN layer = 0 THEN 8 ELSE 6 END")
+@query("check_1g_degree", f"{WITH}, {FAULTY} SELECT layer, src AS serial, count(*) AS n FROM faulty GROUP BY ALL HAVING count(*) > CASE WHEN layer = 0 THEN 8 ELSE 6 END")
 def check_1g(spark, sf_dir):
-    """Nodes over their layer's limit, counted on incoming edges here, as outgoing ones never pass it."""
-    return edges(spark, sf_dir).groupBy("layer", F.col("dst").alias("serial")).agg(F.count(F.lit(1)).alias("n")).where("n > CASE WHEN layer = 0 THEN 8 ELSE 6 END")
+    """Nodes whose own neighbour list is longer than their layer's limit."""
+    return faulty_edges(spark, sf_dir).groupBy("layer", F.col("src").alias("serial")).agg(F.count(F.lit(1)).alias("n")).where("n > CASE WHEN layer = 0 THEN 8 ELSE 6 END")
 
 
 @query("check_1h_entry_points", f"{WITH}, ep AS (SELECT unnest([64, 128, 63, 1536]) AS serial, 2 AS layer) SELECT serial::BIGINT AS serial FROM ep WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.layer = ep.layer AND n.serial = ep.serial)")
@@ -133,11 +142,13 @@ def check_1j(spark, sf_dir):
     return rows.select("layer", "n", "expected", (F.abs(F.col("n") - F.col("expected")) <= 3 * F.sqrt(F.col("expected") * (1 - p))).alias("ok"))
 
 
-@query("check_2_watermarks", f"{WITH} SELECT (SELECT max(serial) FROM nodes) = 1500 AS last_id_ok, (SELECT max(serial) FROM nodes WHERE layer = 0) = (SELECT max(serial) FROM nodes WHERE layer = 1) AS layers_equal, (SELECT max(c_custkey) FROM customer)::BIGINT AS max_id")
+@query("check_2_watermarks", f"{WITH}, l AS (SELECT max(serial) AS m FROM nodes WHERE layer = 0 AND serial % 40 <> 1), r AS (SELECT max(serial) AS m FROM nodes WHERE layer = 0 AND serial % 40 <> (SELECT max(c_custkey) % 40 FROM customer)), mark AS (SELECT max(c_custkey) AS m FROM customer WHERE c_custkey % 50 <> 49) SELECT mark.m AS mark, (SELECT max(c_custkey) FROM customer) AS max_id, l.m AS left_max, r.m AS right_max, mark.m = (SELECT max(c_custkey) FROM customer) AS mark_ok, l.m = r.m AS eyes_equal FROM l, r, mark")
 def check_2(spark, sf_dir):
-    """Marks against the greatest ids."""
-    n = nodes(spark, sf_dir).agg((F.max("serial") == id_range(spark, sf_dir)).alias("last_id_ok"), (F.max(F.when(F.col("layer") == 0, F.col("serial"))) == F.max(F.when(F.col("layer") == 1, F.col("serial")))).alias("layers_equal"))
-    return n.crossJoin(X.table(spark, sf_dir, "customer").agg(F.max("c_custkey").cast("long").alias("max_id")))
+    """The stored mark against the greatest id, and the left graph's greatest id against the right one's."""
+    c = X.table(spark, sf_dir, "customer").agg(F.max(F.when(F.col("c_custkey") % 50 != 49, F.col("c_custkey"))).alias("mark"), F.max("c_custkey").alias("max_id"))
+    rows = nodes(spark, sf_dir).where("layer = 0").crossJoin(F.broadcast(c))  # c is one row
+    greatest = rows.groupBy("mark", "max_id").agg(F.max(F.expr("CASE WHEN serial % 40 <> 1 THEN serial END")).alias("left_max"), F.max(F.expr("CASE WHEN serial % 40 <> max_id % 40 THEN serial END")).alias("right_max"))
+    return greatest.withColumns({"mark_ok": F.col("mark") == F.col("max_id"), "eyes_equal": F.col("left_max") == F.col("right_max")})
 
 
 @query("check_3c_equal_rows", "SELECT a.c_custkey AS id FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey WHERE a.c_custkey % 10 = 0 AND (CASE WHEN b.c_custkey % 70 = 0 THEN NULL ELSE b.c_name END) IS DISTINCT FROM a.c_name")
@@ -185,13 +196,26 @@ def node_equivalence(spark, sf_dir):
     return a.join(b, ["layer", "serial"], "left_anti").withColumn("only_in", F.lit("left")).union(b.join(a, ["layer", "serial"], "left_anti").withColumn("only_in", F.lit("right")))
 
 
-@query("compaction", f"{WITH}, big AS (SELECT layer, dst AS serial FROM edges GROUP BY ALL HAVING count(DISTINCT src) > 6) SELECT DISTINCT layer, dst AS serial, src AS removed FROM (SELECT e.layer, e.dst, e.src, dense_rank() OVER (PARTITION BY e.layer, e.dst ORDER BY abs(e.src - e.dst), e.src) AS k FROM edges e JOIN big ON big.layer = e.layer AND big.serial = e.dst) WHERE k > 4")
+def node_code(serial: str):
+    """A 32-bit code of a node, for distances between nodes of the fixture."""
+    return F.col(serial) * 2654435761 % 4294967296
+
+
+def beyond_nearest(e: DataFrame, distance, limit: int, keep: int) -> DataFrame:
+    """The edges that go when neighbourhoods of more than ``limit`` keep the ``keep`` neighbours nearest to their base node.
+
+    Groups are cut to candidates inside the window; a neighbourhood is bounded by its degree.
+    """
+    w = Window.partitionBy("layer", "src")
+    ranked = e.withColumns({"n": F.count(F.lit(1)).over(w), "k": F.row_number().over(w.orderBy(distance, "dst"))})
+    return ranked.where((F.col("n") > limit) & (F.col("k") > keep)).select("layer", "src", "dst")
+
+
+@query("compaction", f"{WITH}, e AS (SELECT layer, src, dst FROM edges UNION SELECT layer, src, dst FROM other), k AS (SELECT *, count(*) OVER (PARTITION BY layer, src) AS n, row_number() OVER (PARTITION BY layer, src ORDER BY bit_count(xor(src * 2654435761 % 4294967296, dst * 2654435761 % 4294967296)), dst) AS k FROM e) SELECT layer, src, dst FROM k WHERE n > 6 AND k > 6")
 def compaction(spark, sf_dir):
-    """Neighbourhoods over the limit keep their four nearest; the rest is removed."""
-    e = edges(spark, sf_dir).select("layer", F.col("dst").alias("serial"), F.col("src").alias("removed")).distinct()
-    big = e.groupBy("layer", "serial").agg(F.count(F.lit(1)).alias("n")).where("n > 6").drop("n")
-    k = F.row_number().over(Window.partitionBy("layer", "serial").orderBy(F.abs(F.col("removed") - F.col("serial")), "removed"))
-    return e.join(big, ["layer", "serial"]).withColumn("k", k).where("k > 4").drop("k")
+    """Neighbourhoods over the limit keep the nearest of their neighbours, by the distance to the base node."""
+    e = edges(spark, sf_dir).select("layer", "src", "dst").union(other_edges(spark, sf_dir)).distinct()
+    return beyond_nearest(e, F.bit_count(node_code("src").bitwiseXOR(node_code("dst"))), DEGREE, DEGREE)
 
 
 @query("degree_summary", f"{WITH}, d AS (SELECT layer, dst, count(*) AS n FROM edges GROUP BY ALL) SELECT layer, min(n) AS low, avg(n) AS mean, list_sort(list(n))[count(*) // 2 + 1] AS upper_median, max(n) AS high FROM d GROUP BY layer")

@@ -264,3 +264,23 @@ def export_increment(spark, sf_dir):
     e = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.to_date("ts").alias("day"))
     last = e.agg(F.max("day").alias("last"))
     return e.crossJoin(F.broadcast(last)).where(F.col("day") >= F.date_sub("last", 5)).select("id", "day")  # last is one row
+
+
+@query("neighbour_codec", "WITH g AS (SELECT c_custkey AS src, list_transform(range(0, 12), lambda j: c_custkey % 50 * j + j * j % 7 * j + j) AS ids FROM customer), h AS (SELECT src, ids, floor(log2(greatest(1, (ids[12] - 11) // 12)))::BIGINT AS b FROM g) SELECT src, 12::BIGINT AS n, (3 + (list_sum(list_transform(range(1, 13), lambda k: ((CASE WHEN k = 1 THEN ids[1] ELSE ids[k] - ids[k - 1] - 1 END) >> b::INT) + 1 + b)) + 7) // 8)::BIGINT AS bytes, list_sum(ids)::BIGINT AS total FROM h WHERE len(list_filter(range(2, 13), lambda k: ids[k] <= ids[k - 1])) = 0")
+def neighbour_codec(spark, sf_dir):
+    """Neighbour lists through the graph file's codec and back: their number, stored bytes and the sum of what was read."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.col("src") % 50 * j + j * j % 7 * j + j)
+    rows = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src")).withColumn("ids", ids)
+    rising = F.aggregate(F.sequence(F.lit(1), F.lit(11)), F.lit(True), lambda a, k: a & (F.get("ids", k) > F.get("ids", k - 1)))
+
+    def run(batches):
+        import pyarrow as pa
+
+        from ..functions import codec
+
+        for b in batches:
+            coded = [codec.encode(x) for x in b.column(1).to_pylist()]
+            back = [codec.decode(x) for x in coded]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in back], pa.int64()), pa.array([len(x) for x in coded], pa.int64()), pa.array([sum(x) for x in back], pa.int64())], names=["src", "n", "bytes", "total"])
+
+    return rows.where(rising).select(F.col("src").cast("long").alias("src"), F.col("ids").cast("array<bigint>").alias("ids")).mapInArrow(run, "src bigint, n bigint, bytes bigint, total bigint")

@@ -26,16 +26,24 @@ def bounded(df: DataFrame, most: int = BATCH_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a local master may do without ``spark.checkpoint.dir``; it then gets a temporary folder.
+    Only a local master may do without the setting; it then gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="maskwell-"))
+        root = tempfile.mkdtemp(prefix="maskwell-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -22,6 +22,16 @@ def read_codes(spark: SparkSession, path: str, select: str = "all", limit: int |
     return rows.orderBy("line").limit(limit) if limit is not None else rows
 
 
+def read_knn(spark: SparkSession, path: str) -> DataFrame:
+    """``node, neighbors`` from a result file: a header line, which isn't an object with a node, then line JSON."""
+    return spark.read.schema("node bigint, neighbors array<bigint>").json(path).where("node IS NOT NULL")
+
+
+def write_rates(df: DataFrame, path: str) -> None:
+    """Accuracy figures as CSV with a header, in one folder."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def read_int4(spark: SparkSession, path: str) -> DataFrame:
     """``packed`` (binary, two signed nibbles a byte) from line JSON."""
     return spark.read.schema("packed_b64 string").json(path).select(F.unbase64("packed_b64").alias("packed"))

@@ -36,8 +36,7 @@ def commit_batches(stream: DataFrame, out: str, checkpoint: str):
 def stream_dedupe(spark, sf_dir):
     """All events as a stream with repeated sequence numbers, committed batch by batch and read back."""
     schema = X.table(spark, sf_dir, "events").schema
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/maskwell-streams"
-    root = f"{root}/{uuid.uuid4().hex}"
+    root = f"{X.shared_folder(spark)}/{uuid.uuid4().hex}"
     at = F.col("ts").cast("timestamp").alias("received_at")
     stream = requests_stream(spark, sf_dir, "events*.parquet", schema).select((F.col("event_id") % 700).alias("event_id"), at)
     commit_batches(deduplicated(stream, delay="60 days"), f"{root}/out", f"{root}/state").awaitTermination()
