@@ -29,13 +29,15 @@ PLAIN = "doc_id bigint, held_out boolean, raw binary"
 
 
 class Words(dict):
-    """Word to 64-bit hash; a worker keeps the first words it meets."""
+    """Word to 64-bit hash; a worker keeps the first short words it meets, in about 32 MB."""
+
+    MOST, LONGEST = 200_000, 48
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         h = xxhash.xxh64_intdigest(word) - (1 << 63)
-        if len(self) < 400_000:
+        if len(self) < self.MOST and len(word) <= self.LONGEST:
             self[word] = h
         return h
 
