@@ -28,7 +28,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Characters of a chunk and of its first overlap; texts up to a chunk are encoded in one go.
 CHUNK, OVERLAP = 4096, 128
 #: Characters and ids, in bytes, that a worker keeps for known parts, and the longest part that it keeps.
-MEMO_BYTES, MEMO_PART = 24 << 20, 64
+MEMO_BYTES, MEMO_PART = 96 << 20, 64
 
 #: A space after a character that is certainly visible: no separator, control or format character of any kind.
 SAFE = re.compile(r"(?<=[!-~¡-¬®-˿Ͱ-ͷΆ-ҁҊ-ԯ]) ")
@@ -67,14 +67,13 @@ class Coder:
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.drops_space = self.library.normalizer is not None  # the word vocabulary; the byte vocabulary keeps spaces
         self.memo: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         self.room = MEMO_BYTES
 
-    def keep(self, known: dict[str, bytes], part: str, ids: bytes) -> None:
-        """Remember the ids of a short part while there is room; an entry takes about 200 bytes beside its content."""
-        size = 200 + len(part) + len(ids)
-        if len(part) <= MEMO_PART and size <= self.room:
-            known[part] = ids
+    def keep(self, part: str, ids: bytes) -> None:
+        """Remember the ids of a short part while there is room; an entry takes about 180 bytes beside its content."""
+        size = 180 + len(part) + len(ids)
+        if len(part) <= MEMO_PART and size <= self.room and part not in self.memo:
+            self.memo[part] = ids
             self.room -= size
 
     @classmethod
@@ -99,15 +98,17 @@ class Coder:
             plain, tail = plain[:-1], plain[-1]
         if not LETTERS.fullmatch(plain) or (self.drops_space and not word.isascii() and word.lower() != word and not LETTERS.fullmatch(word[1:].rstrip(".,"))):
             return array("I", self.library_ids(part)).tobytes()
-        key = plain if self.drops_space else part
-        ids = self.runs.get(key)
+        key = f" {plain}" if self.drops_space else part  # a dropped space doesn't count
+        ids = self.memo.get(key)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(key.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            self.keep(self.runs, key, ids)
+            run = plain if self.drops_space else part
+            ids = array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            self.keep(key, ids)
         if tail:
-            mark = self.runs.get(tail)
+            mark = self.memo.get(tail)
             if mark is None:
-                mark = self.runs[tail] = array("I", self.library_ids(tail)).tobytes()
+                mark = array("I", self.library_ids(tail)).tobytes()
+                self.keep(tail, mark)
             ids += mark
         return ids
 
@@ -125,7 +126,7 @@ class Coder:
             ids = memo.get(part)
             if ids is None:
                 ids = self.part_ids(part)
-                self.keep(memo, part, ids)
+                self.keep(part, ids)
             out.append(ids)
         return b"".join(out)
 

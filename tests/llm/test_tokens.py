@@ -70,4 +70,4 @@ def test_known_parts_take_bounded_bytes():
     coder.room = 3000
     for k in range(200):
         coder.ids(f"part{k} 第{k}部分{'文' * 100} x")
-    assert 0 <= coder.room < 3000 and all(len(p) <= tokens.MEMO_PART for p in [*coder.memo, *coder.runs])
+    assert 0 <= coder.room < 3000 and all(len(p) <= tokens.MEMO_PART for p in coder.memo)
