@@ -28,7 +28,7 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Characters of a chunk and of its first overlap; texts up to a chunk are encoded in one go.
 CHUNK, OVERLAP = 4096, 128
 #: Characters and ids, in bytes, that a worker keeps for known parts, and the longest part that it keeps.
-MEMO_BYTES, MEMO_PART = 96 << 20, 64
+MEMO_BYTES, MEMO_PART = 144 << 20, 64
 
 #: A space after a character that is certainly visible: no separator, control or format character of any kind.
 SAFE = re.compile(r"(?<=[!-~¡-¬®-˿Ͱ-ͷΆ-ҁҊ-ԯ]) ")
