@@ -130,10 +130,9 @@ class Coder:
             out.append(ids)
         return b"".join(out)
 
-    def chunk(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of a chunk and the place in it where each begins."""
-        found = self.library.encode(text, add_special_tokens=False)
-        return found.ids, [a for a, _ in found.offsets]
+    def chunk(self, text: str):
+        """A chunk encoded by the library, with offsets."""
+        return self.library.encode(text, add_special_tokens=False)
 
     def ids(self, text: str) -> bytes:
         """The ids of a text of any length, by its parts."""
@@ -142,14 +141,14 @@ class Coder:
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int, int]:
         """Tokens of a text, and how many splices and widenings it took to count them."""
         if len(text) <= chunk:
-            return len(self.library_ids(text)), 0, 0
+            return len(self.chunk(text)), 0, 0
         tokens, chunks, widened = 0, 0, 0
-        for ids, _, more in self.spliced(text, chunk, overlap):
-            tokens, chunks, widened = tokens + len(ids), chunks + 1, widened + more
+        for _, n, more in self.spliced(text, chunk, overlap):
+            tokens, chunks, widened = tokens + n, chunks + 1, widened + more
         return tokens, chunks - 1, widened
 
     def spliced(self, text: str, chunk: int, overlap: int):
-        """Yield (ids, place of the splice after them, widenings) for each chunk of the text in turn.
+        """Yield (encoding, how many of its tokens count, widenings) for each chunk of the text in turn.
 
         ``begin`` is the last splice. The chunk from there on and the one after it share ``wide`` characters. The splice
         is the last safe boundary in the shared part at which the first chunk has a token boundary, and the second
@@ -159,36 +158,41 @@ class Coder:
         begin, n = 0, len(text)
         while begin < n:
             wide, end, more = overlap, min(n, begin + chunk), 0
-            ids, at = self.chunk(text[begin:end])
+            coded = self.chunk(text[begin:end])
             while end < n:
-                shared = max(begin + 1, end - wide)
-                splice = self.splice(text, begin, shared, end, ids, at)
+                splice = self.splice(text, begin, max(begin + 1, end - wide), end, coded)
                 if splice is not None:
                     break
                 wide, more = 2 * wide, more + 1
                 if wide > end - begin:  # no place in the whole chunk: it grows
                     end = min(n, end + wide)
-                    ids, at = self.chunk(text[begin:end])
+                    coded = self.chunk(text[begin:end])
             if end == n:
-                yield ids, n, more
+                yield coded, len(coded), more
                 return
-            yield ids[: sum(1 for a in at if begin + a < splice)], splice, more
-            begin = splice
+            begin, count = splice
+            yield coded, count, more
 
-    def splice(self, text: str, begin: int, shared: int, end: int, ids: list[int], at: list[int]) -> int | None:
-        """The last place in text[shared:end] at which both chunks may be cut."""
-        starts = set(at)
+    def splice(self, text: str, begin: int, shared: int, end: int, coded) -> tuple[int, int] | None:
+        """The last place in text[shared:end] at which both chunks may be cut, and how many tokens of the first precede it."""
         safe = [m.start() for m in SAFE.finditer(text, shared, end)]
         if not safe:
             return None
-        _, later = self.chunk(text[safe[0] : end])
-        others = set(later)
+        later = self.chunk(text[safe[0] : end])
         step = 1 if self.drops_space else 0  # a dropped space belongs to no token; the next one begins after it
         for place in reversed(safe):
-            if place > begin and place + step - begin in starts and place + step - safe[0] in others:
-                return place
+            if place > begin:
+                first, second = self.begins(coded, place + step - begin), self.begins(later, place + step - safe[0])
+                if first is not None and second is not None:
+                    return place, first
         return None
 
+    @staticmethod
+    def begins(coded, at: int) -> int | None:
+        """The first token that begins at a character, if one does."""
+        token = coded.char_to_token(at)
+        return token if token is not None and coded.token_to_chars(token)[0] == at else None
+
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit, n_splices, n_widened`` for every row of ``docs``.
