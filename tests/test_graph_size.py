@@ -40,7 +40,14 @@ def test_queries_follow_the_table(spark, folder):
     live = [e for e in edges if (e[0], e[2]) in held and e[2] * 7 % 1000 <= e[1] * 7 % 1000 + 300]
     assert rows(graphs.active_links(spark, folder).select("layer", "src", "dst")) == Counter(live)
     assert rows(graphs.check_1b(spark, folder)) == Counter((s, "excluded_but_present") for s in range(N - 10, N))
-    assert graphs.check_2(spark, folder).first().asDict() == {"last_id_ok": False, "layers_equal": False, "max_id": N - 1}
+    mark, left, right = (max(s for s in range(N) if s % m != r) for m, r in ((50, 49), (40, 1), (40, (N - 1) % 40)))
+    assert graphs.check_2(spark, folder).first().asDict() == {"mark": mark, "max_id": N - 1, "left_max": left, "right_max": right, "mark_ok": mark == N - 1, "eyes_equal": left == right}
+    twice = Counter(edges + [e for e in edges if e[1] % 70 == 3])
+    assert rows(graphs.check_1f(spark, folder)) == Counter((*e, n) for e, n in twice.items() if n > 1)
+    degree = Counter()
+    for (layer, src, _), n in twice.items():
+        degree[layer, src] += n
+    assert rows(graphs.check_1g(spark, folder)) == Counter((*k, n) for k, n in degree.items() if n > (8 if k[0] == 0 else 6))
     changed = {k % N for k in range(901, 3500)}
     probe = Counter((layer, dst) for layer, src, dst in edges if src in changed)
     assert rows(graphs.recency_probe(spark, folder)) == Counter((*k, n) for k, n in probe.items())
