@@ -1,13 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds n-grams together with their quantised counts: an n-gram with count c has level 1 + floor(log2 c), and
-(n-gram, 1) ... (n-gram, level) are all entered. A reader probes level after level until one is missing and so learns
-the count up to a factor, from bits alone. The filter is cut into blocks by the high bits of an n-gram's hash; a block is
-built by one task from its own entries, and the finished blocks are broadcast.
-
-What is broadcast has fixed bounds: the filter (``MAX_BITS``), the counts of the most frequent words (``HEAD_WORDS``) and
-the contexts of the bigram vocabulary (``VOCABULARY``). Words beyond the head are rare by construction; their exact counts,
-which the base score needs, come from a join that therefore has no hot keys.
+The filter holds word pairs together with their quantised counts: a pair with count c has level 1 + floor(log2 c), and
+(pair, 1) ... (pair, level) are all entered. A reader probes level after level until one is missing and so learns the
+count up to a factor, from bits alone. Every pair of the training texts is entered, those seen once too, whatever its
+words; a text's end is a word as well.
+
+Pairs are dealt by hash over shards, whose number follows the input, and each shard's bits are sized by its own entries,
+so that the rate of false hits is the same at every size. One task counts a shard and builds its bits; a shard also keeps
+the exact counts of its words. Where all shards together have at most ``BROADCAST`` bytes, they are broadcast. A larger
+model is never broadcast: batches of texts then send the distinct pairs and words they ask for to the shards and get
+levels and counts back. Both ways give the same rows. The most frequent words (``HEAD_WORDS`` of them at most) are broadcast
+always, so that no question is asked for them.
+
+A word w after v has the probability (c(v, w) + ``PRIOR`` * p(w)) / (c(v) + ``PRIOR``), where p(w) is the base's.
 """
 
 from __future__ import annotations
@@ -17,13 +22,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, stage, table, text_of
+from .common import id_crc, slices, small_batches, stage, table, text_of
 
-HEAD_WORDS, VOCABULARY = 1 << 20, 1 << 17
-MIN_COUNT = 2
-#: Bits of the filter at most, bits for an entry, bits of a block, probes for an entry.
-MAX_BITS, ENTRY_BITS, BLOCK_BITS, PROBES = 1 << 29, 10, 1 << 18, 5
-DISCOUNT, MIN_BACKOFF = 0.5, 0.02
+HEAD_WORDS = 1 << 20
+#: Bytes of a model that is broadcast whole, at most.
+BROADCAST = 16 << 20
+#: Text bytes of a shard, shards at least; bits for an entry, probes for an entry; tokens that a task adds up at once.
+SHARD_BYTES, SHARDS, ENTRY_BITS, PROBES, CHUNK = 16 << 20, 64, 10, 5, 3_000_000
+PRIOR = 50.0
 END = b""
 PLAIN = "doc_id bigint, held_out boolean, raw binary"
 
@@ -73,81 +79,286 @@ def mixed(x, salt: int):
         return x ^ (x >> np.uint64(31))
 
 
-def positions(grams, level: int):
-    """Bit places of (n-gram, level) inside the n-gram's block: one row a probe."""
+def middle(level):
+    """The count that a level stands for: the mean of 2**(level-1) and 2**level - 1; 0 at level 0."""
     import numpy as np
 
-    a = mixed(grams, level)
-    step = (a >> np.uint64(32)) | np.uint64(1)
-    return [((a + np.uint64(i) * step) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for i in range(PROBES)]
+    return np.where(level > 0, (np.exp2(level - 1) + np.exp2(level) - 1) / 2, 0.0)
 
 
-def block_of(grams, blocks: int):
+def word_grams(ids):
+    """48-bit numbers that deal words over shards."""
     import numpy as np
 
-    return ((mixed(grams, 1 << 20) >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
+    return mixed(ids, 11) >> np.uint64(16)
 
 
-class Filter:
-    """The filter as a reader sees it."""
+def pair_grams(ids, starts):
+    """48-bit numbers of the pairs that end at each token; a text's first word follows an end."""
+    import numpy as np
 
-    def __init__(self, blocks):
-        self.blocks = blocks  # uint8, a row a block
+    before = np.empty_like(ids)
+    before[1:] = ids[:-1]
+    before[starts] = WORDS[END]
+    return mixed(mixed(before, 7) ^ ids.astype(np.uint64), 13) >> np.uint64(16)
 
-    def levels(self, grams, most: int = 48):
-        """The level of each n-gram: 0 where it isn't held."""
-        import numpy as np
 
-        out, live = np.zeros(len(grams), np.int64), np.arange(len(grams))
-        block = block_of(grams, len(self.blocks)) if len(grams) else None
-        for level in range(1, most):
-            if not len(live):
-                break
-            held = np.ones(len(live), bool)
-            for at in positions(grams[live], level):
-                held &= (self.blocks[block[live], at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            live = live[held]
-            out[live] = level
-        return out
+def bounds(grams, shards: int):
+    """The shards that sorted grams fall in, and where each one's grams begin and end. Shards are ranges of grams."""
+    import numpy as np
 
+    shard = ((grams >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+    return shard[at], at, np.r_[at, len(shard)][1:]
 
-def middle(level):
-    """The count that a level stands for: the mean of 2**(level-1) and 2**level - 1; 0 at level 0."""
+
+def six(grams) -> bytes:
+    """Grams as six bytes each."""
     import numpy as np
 
-    return np.where(level > 0, (np.exp2(level - 1) + np.exp2(level) - 1) / 2, 0.0)
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def level_of(count: str = "c"):
-    """The level of an exact count, without logarithms: the number of its binary digits."""
-    return F.length(F.bin(F.col(count)))
+def from_six(data: bytes):
+    import numpy as np
 
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
-def counted(plain: DataFrame, grams) -> DataFrame:
-    """``key, c``: how often each 64-bit number from ``grams(ids, starts)`` occurs. Tasks add up before the shuffle."""
 
-    def run(batches):
+def summed(keys, counts):
+    """Distinct keys in order, and the sums of their counts."""
+    import numpy as np
+
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+
+
+def positions(grams, level: int, size: int, probe: int):
+    """The bit of (gram, level) that one probe looks at, among ``size`` bits."""
+    import numpy as np
+
+    a = mixed(grams, level)
+    low = np.uint64(0xFFFFFFFF)
+    return (((a & low) + np.uint64(probe) * (a >> np.uint64(32) | np.uint64(1)) & low) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+
+
+def bits_of(grams, level) -> bytes:
+    """A filter that holds each gram up to its level, at ``ENTRY_BITS`` bits an entry."""
+    import numpy as np
+
+    size = max(64, int(level.sum()) * ENTRY_BITS + 7 & ~7)
+    flags = np.zeros(size, np.uint8)
+    for n in range(1, int(level.max(initial=0)) + 1):
+        held = grams[level >= n]
+        for probe in range(PROBES):
+            flags[positions(held, n, size, probe)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def levels(bits: bytes | None, grams, most: int = 48):
+    """The level of each gram by repeated probes: 0 where it isn't held."""
+    import numpy as np
+
+    out, live = np.zeros(len(grams), np.int64), np.arange(len(grams))
+    if not bits:
+        return out
+    data = np.frombuffer(bits, np.uint8)
+    for level in range(1, most):
+        for probe in range(PROBES):
+            at = positions(grams[live], level, len(data) * 8, probe)
+            live = live[(data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        if not len(live):
+            break
+        out[live] = level
+    return out
+
+
+GATHERED = "shard bigint, words binary, grams binary, counts binary"
+SHARD = "shard bigint, words binary, counts binary, bits binary, n_tokens bigint, n_words bigint"
+
+
+def gathered(plain: DataFrame, shards: int) -> DataFrame:
+    """Counts of words and pairs by shard; tasks add up before the shuffle, and a row has many of them packed."""
+
+    def put(parts, name):
         import numpy as np
         import pyarrow as pa
 
-        def put(parts):
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
-            for k in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000]), pa.array(n[k : k + 100_000].astype(np.int64))], names=["key", "c"])
+        keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        grams = keys
+        if name == "words":
+            grams = word_grams(keys)
+            order = np.argsort(grams)
+            grams, keys, n = grams[order], keys[order], n[order]
+        pack, counts = (six if name == "grams" else lambda x: x.astype("<i8").tobytes()), n.astype("<u4")
+        rows = [(s, pack(keys[i:j]), counts[i:j].tobytes()) for s, i, j in zip(*bounds(grams, shards), strict=True)]
+        for k in range(0, len(rows), 500):
+            some = rows[k : k + 500]
+            packed, none = pa.array([x[1] for x in some], pa.binary()), pa.nulls(len(some), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in some], pa.int64()), *((packed, none) if name == "words" else (none, packed)), pa.array([x[2] for x in some], pa.binary())],
+                names=["shard", "words", "grams", "counts"],
+            )
 
-        parts, size = [], 0
+    def run(batches):
+        words, pairs, size = [], [], 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                ids, starts, _ = hashes(b.column(2).slice(at, 256).to_pylist())
-                parts.append(grams(ids, starts))
-                size += len(parts[-1])
-                if size > 4_000_000:
-                    yield from put(parts)
-                    parts, size = [], 0
+            for part in slices(b, 2):
+                ids, starts, _ = hashes(part.column(2).to_pylist())
+                words.append(ids)
+                pairs.append(pair_grams(ids, starts))
+                size += len(ids)
+                if size > CHUNK:
+                    yield from put(words, "words")
+                    yield from put(pairs, "grams")
+                    words, pairs, size = [], [], 0
         if size:
-            yield from put(parts)
+            yield from put(words, "words")
+            yield from put(pairs, "grams")
+
+    return plain.mapInArrow(run, GATHERED)
+
+
+def built(packed: DataFrame) -> DataFrame:
+    """One row a shard: its words in order of their hashes, their exact counts, the filter of its pairs, totals."""
+
+    def close(shard, words, pairs):
+        import numpy as np
+        import pyarrow as pa
+
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        w, c = summed(*(np.concatenate(x) for x in zip(*(words or [none]), strict=True)))
+        g, n = summed(*(np.concatenate(x) for x in zip(*(pairs or [(none[0].astype(np.uint64), none[1])]), strict=True)))
+        bits = bits_of(g, np.frexp(n.astype(np.float64))[1].astype(np.int64))
+        row = {"shard": shard, "words": w.astype("<i8").tobytes(), "counts": c.astype("<i8").tobytes(), "bits": bits, "n_tokens": int(c.sum()), "n_words": len(w)}
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
+
+    def run(batches):
+        import numpy as np
+
+        at, words, pairs = None, [], []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["shard"] != at:
+                    if at is not None:
+                        yield close(at, words, pairs)
+                    at, words, pairs = r["shard"], [], []
+                n = np.frombuffer(r["counts"], "<u4").astype(np.int64)
+                if r["words"] is not None:
+                    words.append((np.frombuffer(r["words"], "<i8"), n))
+                else:
+                    pairs.append((from_six(r["grams"]), n))
+        if at is not None:
+            yield close(at, words, pairs)
+
+    return packed.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, SHARD)
+
+
+def word_counts(shards: DataFrame) -> DataFrame:
+    """``key, c``: the exact counts of all words, row by row."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(w, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["key", "c"])
 
-    return plain.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+    return shards.select("words", "counts").mapInArrow(run, "key bigint, c bigint")
+
+
+class Model:
+    """What every worker has: the most frequent words with their counts, the number of shards, totals."""
+
+    def __init__(self, head, head_counts, shards: int, total: int, distinct: int):
+        self.head, self.head_counts, self.shards, self.total, self.distinct = head, head_counts, shards, total, distinct
+
+    def in_head(self, ids):
+        """Counts of head words, -1 for other words."""
+        import numpy as np
+
+        if not len(self.head):
+            return np.full(len(ids), -1)
+        at = np.searchsorted(self.head, ids)
+        at[at == len(self.head)] = 0
+        return np.where(self.head[at] == ids, self.head_counts[at], -1)
+
+
+class Asked:
+    """A batch of texts: its tokens and the distinct words below the head and pairs that it asks for, in shard order."""
+
+    def __init__(self, model: Model, raws: list[bytes]):
+        import numpy as np
+
+        self.model = model
+        self.ids, self.starts, self.sizes = hashes(raws)
+        self.pairs, self.pair_at = np.unique(pair_grams(self.ids, self.starts), return_inverse=True)
+        self.count = model.in_head(self.ids)
+        self.tail = self.count < 0
+        words, word_at = np.unique(self.ids[self.tail], return_inverse=True)
+        grams = word_grams(words)
+        order = np.argsort(grams)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.words, self.grams, self.word_at = words[order], grams[order], place[word_at]
+
+    def questions(self):
+        """``shard, words, pairs`` for each shard that is asked."""
+        by: dict = {}
+        for k, keys, grams in ((0, self.words, self.grams), (1, self.pairs, self.pairs)):
+            for s, i, j in zip(*bounds(grams, self.model.shards), strict=True):
+                by.setdefault(int(s), [self.words[:0], self.pairs[:0]])[k] = keys[i:j]
+        return [(s, *by[s]) for s in sorted(by)]
+
+    def scores(self, counts, level):
+        """Of each text, known tokens, base score and score, from the counts of ``words`` and the levels of ``pairs``."""
+        import numpy as np
+
+        m = self.model
+        self.count[self.tail] = counts[self.word_at]
+        count = self.count.astype(np.float64)
+        norm = m.total + m.distinct + 1
+        ends = self.starts + self.sizes - 1
+        context = np.empty_like(count)
+        context[1:] = count[:-1]
+        context[self.starts] = count[ends[0]] if len(ends) else 0
+        seen = np.minimum(middle(level)[self.pair_at], context)
+        model = np.log10((seen + PRIOR * (count + 1) / norm) / (context + PRIOR))
+        add = lambda x: np.add.reduceat(x, self.starts) if len(x) else x
+        return add((count > 0).astype(np.int64)), add(np.log10(count + 1)) - self.sizes * math.log10(norm), add(model)
+
+
+def answered(shard: tuple | None, words, pairs):
+    """Exact counts of ``words`` and levels of ``pairs`` in one shard ``(words, counts, bits)``; all 0 without one."""
+    import numpy as np
+
+    counts = np.zeros(len(words), np.int64)
+    if shard is None:
+        return counts, np.zeros(len(pairs), np.int64)
+    own, n = np.frombuffer(shard[0], "<i8"), np.frombuffer(shard[1], "<i8")
+    if len(own):
+        at = np.searchsorted(own, words)
+        at[at == len(own)] = 0
+        counts = np.where(own[at] == words, n[at], 0)
+    return counts, levels(shard[2], pairs)
+
+
+RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def result(ids, held, asked: Asked, counts, level):
+    import numpy as np
+    import pyarrow as pa
+
+    known, base, full = asked.scores(counts, level)
+    columns = [ids, held, pa.array(asked.sizes), pa.array(known), pa.array(np.full(len(known), asked.model.total, np.int64)), pa.array(base), pa.array(full)]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def cut(counts: DataFrame, most: int) -> int:
@@ -167,190 +378,135 @@ def cut(counts: DataFrame, most: int) -> int:
     return least
 
 
-class Model:
-    """What workers need to score: head words, contexts, the filter, totals."""
-
-    def __init__(self, head, head_counts, vocabulary, backoff, blocks, total: int, distinct: int):
-        self.head, self.head_counts, self.vocabulary, self.backoff, self.blocks, self.total, self.distinct = head, head_counts, vocabulary, backoff, blocks, total, distinct
+def plain_documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_crc() % 7 == 2).alias("held_out"), text_of().cast("binary").alias("raw"))
 
-    def find(self, sorted_keys, ids):
-        """Places of ``ids`` in ``sorted_keys``, -1 where they are missing."""
-        import numpy as np
 
-        if not len(sorted_keys):
-            return np.full(len(ids), -1)
-        at = np.searchsorted(sorted_keys, ids)
-        at[at == len(sorted_keys)] = 0
-        return np.where(sorted_keys[at] == ids, at, -1)
+def train(docs: DataFrame, head_words: int = HEAD_WORDS):
+    """The model and the table of shards, from rows that aren't held out."""
+    import numpy as np
 
-    def scores(self, ids, starts, sizes):
-        """For each text: known head tokens, the head's part of the base score, the model's score; the tail tokens."""
-        import numpy as np
+    plain = plain_documents(docs).where("NOT held_out")
+    size = plain.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    n = max(SHARDS, size // SHARD_BYTES)
+    shards = stage(built(gathered(plain, n)), "shards")
+    total, distinct = (x or 0 for x in shards.agg(F.sum("n_tokens"), F.sum("n_words")).first())
+    words = word_counts(shards)
+    if distinct > head_words:
+        words = words.where(F.col("c") >= cut(words, head_words))
+    top = words.toArrow()  # at most head_words rows
+    order = np.argsort(top["key"].to_numpy())
+    return Model(top["key"].to_numpy()[order], top["c"].to_numpy()[order], n, int(total), int(distinct)), shards
+
+
+def by_broadcast(plain: DataFrame, model, shards: DataFrame) -> DataFrame:
+    """Scores with all shards in every worker."""
+    rows = shards.select("shard", "words", "counts", "bits").toArrow().to_pylist()  # at most BROADCAST bytes
+    held = plain.sparkSession.sparkContext.broadcast({r["shard"]: (r["words"], r["counts"], r["bits"]) for r in rows})
 
-        at = self.find(self.head, ids)
-        count = np.where(at >= 0, self.head_counts[at] if len(self.head) else 0, 0).astype(np.float64)
-        tail = at < 0
-        norm = self.total + self.distinct + 1
-        base = np.where(tail, 0.0, np.log10(count + 1))
-        full = Filter(self.blocks)
-        guess = count.copy()
-        guess[tail] = middle(full.levels(ids[tail]))
-        word = (guess + 1) / norm
-        place = self.find(self.vocabulary, ids)
-        before = np.empty_like(ids)
-        before[1:] = place[:-1]
-        before[starts] = self.end_place()
-        ends = np.zeros(len(ids), bool)
-        pair = (before >= 0) & (place >= 0) & ~ends
-        grams = pair_key(before[pair], place[pair])
-        seen = np.zeros(len(ids))
-        seen[pair] = np.maximum(middle(full.levels(grams)) - DISCOUNT, 0)
-        context = np.where(before >= 0, self.context_counts()[before] if len(self.vocabulary) else 1, 1)
-        left = np.where(before >= 0, self.backoff[before] if len(self.vocabulary) else 1, 1)
-        model = np.log10(np.minimum(seen / context, 1 - MIN_BACKOFF) + left * word)
-        add = lambda x: np.add.reduceat(x, starts) if len(x) else x
-        return add((~tail).astype(np.int64)), add(base) - sizes * math.log10(norm), add(model), tail
-
-    def end_place(self) -> int:
+    def run(batches):
         import numpy as np
 
-        return int(self.find(self.vocabulary, np.array([WORDS[END]]))[0])
-
-    def context_counts(self):
-        return self.head_counts[self.find(self.head, self.vocabulary)].astype(float)
+        for b in batches:
+            for part in slices(b, 2, 4096):
+                asked = Asked(model.value, part.column(2).to_pylist())
+                got = [answered(held.value.get(s), w, p) for s, w, p in asked.questions()]
+                yield result(part.column(0), part.column(1), asked, np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got]))
 
+    return plain.mapInArrow(run, RESULT)
 
-def pair_key(first, second):
-    """Two vocabulary places as one number; the offset keeps pairs apart from word hashes in practice."""
-    return (first << 20 | second) + (1 << 62)
 
+def by_exchange(plain: DataFrame, model, shards: DataFrame) -> DataFrame:
+    """Scores with each shard in one task: batches of texts send it what they ask for and get the answers back.
 
-def plain_documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (id_crc() % 7 == 2).alias("held_out"), text_of().cast("binary").alias("raw"))
-
+    Batches are written first, so their numbers stay. A task reads a shard, then the questions to it one by one; another
+    reads a batch, then the answers to it. Both are sorted by Spark, which spills, and neither holds more than one batch
+    and one shard.
+    """
 
-def bloom_blocks(entries: DataFrame, max_bits: int = MAX_BITS):
-    """Blocks of a filter over ``key, level``; bits follow the number of entries, up to ``max_bits``.
+    def batched(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
 
-    Beyond the bound the filter is not cut: every entry still goes in, and what rises is the rate of false hits.
-    """
-    import numpy as np
+        n = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for part in slices(b, 2, 4096):
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(k)])) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *lists], names=["batch", "doc_ids", "held", "raws"])
+                n += 1
 
-    total = entries.agg(F.coalesce(F.sum("level"), F.lit(0))).first()[0]
-    blocks = max(1, min(max_bits, total * ENTRY_BITS) // BLOCK_BITS + 1)
+    texts = stage(plain.mapInArrow(batched, "batch bigint, doc_ids array<bigint>, held array<boolean>, raws array<binary>"), "batches")
 
-    def dealt(batches):
+    def ask(batches):
         import pyarrow as pa
 
         for b in batches:
-            keys = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(block_of(keys, blocks))], names=["key", "level", "block"])
+            for n, raws in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = Asked(model.value, raws.as_py()).questions()
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([n] * len(rows), pa.int64())]
+                columns += [pa.array([r[1].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([six(r[2]) for r in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "batch", "words", "grams"])
 
-    def build(groups):
+    def probe(batches):
+        import numpy as np
         import pyarrow as pa
 
-        made: dict = {}
-        for b in groups:
-            keys, level, block = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
-            order = np.argsort(block, kind="stable")
-            keys, level, block = keys[order], level[order], block[order]
-            firsts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
-            for s, e in zip(firsts, [*firsts[1:], len(block)], strict=True):
-                bits = made.setdefault(int(block[s]), np.zeros(BLOCK_BITS // 8, np.uint8))
-                for n in range(1, int(level[s:e].max()) + 1):
-                    for at in positions(keys[s:e][level[s:e] >= n], n):
-                        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        for k, bits in made.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
-
-    by_block = entries.select("key", F.col("level").cast("bigint").alias("level")).mapInArrow(dealt, "key bigint, level bigint, block bigint").repartition(F.col("block"))
-    out = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for r in by_block.mapInArrow(build, "block bigint, bits binary").toArrow().to_pylist():  # the filter itself: at most max_bits
-        out[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out
+        at, shard = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["batch"] < 0:
+                    at, shard = r["shard"], (r["words"], r["counts"], r["bits"])
+                    continue
+                counts, level = answered(shard if at == r["shard"] else None, np.frombuffer(r["words"], "<i8"), from_six(r["grams"]))
+                out.append((r["batch"], r["shard"], counts.astype("<i8").tobytes(), level.astype(np.uint8).tobytes()))
+            if out:
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["batch", "shard", "counts", "levels"])
+
+    def finish(batches):
+        import numpy as np
+        import pyarrow as pa
 
+        text, counts, level = None, [], []
 
-def train(docs: DataFrame, max_bits: int = MAX_BITS, head_words: int = HEAD_WORDS, vocabulary: int = VOCABULARY):
-    """The model and the exact counts of words below the head, from rows that aren't held out."""
-    import numpy as np
+        def close():
+            asked = Asked(model.value, text["raws"])
+            c, v = np.frombuffer(b"".join(counts), "<i8"), np.frombuffer(b"".join(level), np.uint8).astype(np.int64)
+            return result(pa.array(text["doc_ids"], pa.int64()), pa.array(text["held"], pa.bool_()), asked, c, v)
 
-    spark = docs.sparkSession
-    plain = plain_documents(docs).where("NOT held_out")
-    words = stage(counted(plain, lambda ids, starts: ids), "words")
-    total, distinct = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
-    least = cut(words, head_words)
-    head_table = words.where(F.col("c") >= least).toArrow()  # at most head_words rows
-    order = np.argsort(head_table["key"].to_numpy())
-    head, head_counts = head_table["key"].to_numpy()[order], head_table["c"].to_numpy()[order]
-    at_least = max(cut(words, vocabulary), least)
-    own = head[head_counts >= at_least]
-    shared = spark.sparkContext.broadcast(own)
-
-    def pairs(ids, starts):
-        known = shared.value
-        at = np.searchsorted(known, ids)
-        at[at == len(known)] = 0
-        place = np.where(known[at] == ids, at, -1) if len(known) else np.full(len(ids), -1)
-        end = np.searchsorted(known, WORDS[END])
-        before = np.empty_like(place)
-        before[1:] = place[:-1]
-        before[starts] = end if end < len(known) and known[end] == WORDS[END] else -1
-        both = (before >= 0) & (place >= 0)
-        return pair_key(before[both], place[both])
-
-    bigrams = stage(counted(plain, pairs).where(F.col("c") >= MIN_COUNT).withColumn("level", level_of()), "bigrams")
-    estimate = (F.pow(F.lit(2.0), F.col("level") - 1) + F.pow(F.lit(2.0), F.col("level")) - 1) / 2 - DISCOUNT
-    mass = bigrams.groupBy(F.shiftright(F.col("key") - F.lit(1 << 62), 20).alias("v")).agg(F.sum(estimate).alias("mass")).toArrow()  # at most `vocabulary` rows
-    backoff = np.ones(len(own))
-    counts = head_counts[np.searchsorted(head, own)] if len(own) else np.zeros(0)
-    backoff[mass["v"].to_numpy()] -= mass["mass"].to_numpy() / counts[mass["v"].to_numpy()]
-    rare = words.where((F.col("c") >= MIN_COUNT) & (F.col("c") < least))
-    entries = bigrams.select("key", "level").unionByName(rare.select("key", level_of().alias("level")))
-    blocks = bloom_blocks(entries, max_bits)
-    return Model(head, head_counts, own, np.clip(backoff, MIN_BACKOFF, 1), blocks, int(total), int(distinct)), words.where(F.col("c") < least)
-
-
-def score(docs: DataFrame, **limits) -> DataFrame:
+        for b in batches:
+            for r in b.to_pylist():
+                if r["shard"] < 0:
+                    if text:
+                        yield close()
+                    text, counts, level = r, [], []
+                else:
+                    counts.append(r["counts"])
+                    level.append(r["levels"])
+        if text:
+            yield close()
+
+    first = F.lit(-1).cast("bigint")
+    asked = texts.select("batch", "raws").mapInArrow(ask, "shard bigint, batch bigint, words binary, grams binary")
+    sent = shards.select("shard", first.alias("batch"), "words", "counts", "bits").unionByName(asked, allowMissingColumns=True)
+    answers = sent.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(probe, "batch bigint, shard bigint, counts binary, levels binary")
+    back = texts.withColumn("shard", first).unionByName(answers, allowMissingColumns=True)
+    return back.repartition("batch").sortWithinPartitions("batch", "shard").mapInArrow(finish, RESULT)
+
+
+def score(docs: DataFrame, broadcast: int = BROADCAST, **limits) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Null and empty texts have the end token alone. A null id counts as the empty text in the held-out rule. With no
     training row, all counts are 0. Repeated rows count as often as they stand and get equal rows; an empty table gives
-    none; other columns are not read.
+    none; other columns are not read. ``broadcast`` bounds the bytes of a model that workers hold whole.
     """
-    spark = docs.sparkSession
-    model, rare = train(docs, **limits)
-    shared = spark.sparkContext.broadcast(model)
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, head_known bigint, head_base double, score double, k1 bigint, k2 bigint, tail array<bigint>"
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
-        m = shared.value
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                raws = part.column(2).to_pylist()
-                ids, starts, sizes = hashes(raws)
-                known, base, full, tail = m.scores(ids, starts, sizes)
-                ends = np.cumsum(np.add.reduceat(tail.astype(np.int64), starts)).astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids[tail]))
-                text_keys = [divmod(xxhash.xxh3_128_intdigest(r), 1 << 64) for r in raws]
-                keys = [pa.array([x[j] - (1 << 63) for x in text_keys], pa.int64()) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(known), pa.array(base), pa.array(full), *keys, rest], names=[x.split()[0] for x in schema.split(", ")])
-
-    rows = stage(plain_documents(docs).mapInArrow(run, schema), "scored")
-    # Copies of a text have the same tail: one of them is looked up.
-    tails = rows.select("k1", "k2", F.explode("tail").alias("key"), F.size("tail").alias("of")).groupBy("k1", "k2", "key").agg(F.count(F.lit(1)).alias("n"))
-    copies = rows.where(F.size("tail") > 0).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    looked = tails.join(rare, "key").groupBy("k1", "k2").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base"))
-    found = looked.join(copies, ["k1", "k2"]).select("k1", "k2", (F.col("known") / F.col("copies")).cast("bigint").alias("known"), (F.col("base") / F.col("copies")).alias("base"))
-    none = F.lit(0).cast("bigint")
-    return rows.join(found, ["k1", "k2"], "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("known", none)).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    small_batches(docs.sparkSession)
+    model, shards = train(docs, **limits)
+    size = shards.agg(F.sum(F.octet_length("words") + F.octet_length("counts") + F.octet_length("bits"))).first()[0] or 0
+    way = by_broadcast if size <= broadcast else by_exchange
+    return way(plain_documents(docs), docs.sparkSession.sparkContext.broadcast(model), shards)
 
 
 def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
