@@ -28,7 +28,9 @@ HEAD_WORDS = 1 << 20
 #: Bytes of a model that is broadcast whole, at most.
 BROADCAST = 16 << 20
 #: Text bytes of a shard, shards at least; bits for an entry, probes for an entry; tokens that a task adds up at once.
-SHARD_BYTES, SHARDS, ENTRY_BITS, PROBES, CHUNK = 16 << 20, 64, 10, 5, 3_000_000
+SHARD_BYTES, SHARDS, ENTRY_BITS, PROBES, CHUNK = 16 << 20, 64, 10, 5, 4_000_000
+#: Text bytes of a batch that asks the shards; a longer text is one batch.
+BATCH = 4 << 20
 PRIOR = 50.0
 END = b""
 PLAIN = "doc_id bigint, held_out boolean, raw binary"
@@ -112,19 +114,28 @@ def bounds(grams, shards: int):
     return shard[at], at, np.r_[at, len(shard)][1:]
 
 
-def six(grams) -> bytes:
-    """Grams as six bytes each."""
+def steps(grams) -> bytes:
+    """Sorted grams as the first one, then steps of four bytes; a step of 2**32 - 1 only carries on to the next."""
     import numpy as np
 
-    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    if not len(grams):
+        return b""
+    most = np.uint64(0xFFFFFFFF)
+    step = np.diff(grams)
+    fill = (step // most).astype(np.int64)
+    out = np.full(len(step) + int(fill.sum()), most, "<u4")
+    out[np.cumsum(fill + 1) - 1] = step % most
+    return grams[:1].astype("<u8").tobytes() + out.tobytes()
 
 
-def from_six(data: bytes):
+def from_steps(data: bytes):
     import numpy as np
 
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    if not data:
+        return np.zeros(0, np.uint64)
+    step = np.frombuffer(data, "<u4", offset=8)
+    at = np.cumsum(step, dtype=np.uint64)[step != 0xFFFFFFFF]
+    return np.r_[np.uint64(0), at] + np.frombuffer(data, "<u8", 1)
 
 
 def summed(keys, counts):
@@ -137,13 +148,16 @@ def summed(keys, counts):
     return keys[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0]
 
 
-def positions(grams, level: int, size: int, probe: int):
-    """The bit of (gram, level) that one probe looks at, among ``size`` bits."""
+def probes(grams, level: int, size: int):
+    """The bits of (gram, level) among ``size`` bits, one array a probe."""
     import numpy as np
 
     a = mixed(grams, level)
     low = np.uint64(0xFFFFFFFF)
-    return (((a & low) + np.uint64(probe) * (a >> np.uint64(32) | np.uint64(1)) & low) * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+    at, step = a & low, a >> np.uint64(32) | np.uint64(1)
+    for _ in range(PROBES):
+        yield (at * np.uint64(size) >> np.uint64(32)).astype(np.int64)
+        at = at + step & low
 
 
 def bits_of(grams, level) -> bytes:
@@ -153,9 +167,8 @@ def bits_of(grams, level) -> bytes:
     size = max(64, int(level.sum()) * ENTRY_BITS + 7 & ~7)
     flags = np.zeros(size, np.uint8)
     for n in range(1, int(level.max(initial=0)) + 1):
-        held = grams[level >= n]
-        for probe in range(PROBES):
-            flags[positions(held, n, size, probe)] = 1
+        for at in probes(grams[level >= n], n, size):
+            flags[at] = 1
     return np.packbits(flags, bitorder="little").tobytes()
 
 
@@ -168,9 +181,10 @@ def levels(bits: bytes | None, grams, most: int = 48):
         return out
     data = np.frombuffer(bits, np.uint8)
     for level in range(1, most):
-        for probe in range(PROBES):
-            at = positions(grams[live], level, len(data) * 8, probe)
-            live = live[(data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        held = np.ones(len(live), bool)
+        for at in probes(grams[live], level, len(data) * 8):
+            held &= (data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        live = live[held]
         if not len(live):
             break
         out[live] = level
@@ -194,7 +208,7 @@ def gathered(plain: DataFrame, shards: int) -> DataFrame:
             grams = word_grams(keys)
             order = np.argsort(grams)
             grams, keys, n = grams[order], keys[order], n[order]
-        pack, counts = (six if name == "grams" else lambda x: x.astype("<i8").tobytes()), n.astype("<u4")
+        pack, counts = (steps if name == "grams" else lambda x: x.astype("<i8").tobytes()), n.astype("<u4")
         rows = [(s, pack(keys[i:j]), counts[i:j].tobytes()) for s, i, j in zip(*bounds(grams, shards), strict=True)]
         for k in range(0, len(rows), 500):
             some = rows[k : k + 500]
@@ -252,7 +266,7 @@ def built(packed: DataFrame) -> DataFrame:
                 if r["words"] is not None:
                     words.append((np.frombuffer(r["words"], "<i8"), n))
                 else:
-                    pairs.append((from_six(r["grams"]), n))
+                    pairs.append((from_steps(r["grams"]), n))
         if at is not None:
             yield close(at, words, pairs)
 
@@ -430,36 +444,57 @@ def by_exchange(plain: DataFrame, model, shards: DataFrame) -> DataFrame:
 
         n = TaskContext.get().partitionId() << 32
         for b in batches:
-            for part in slices(b, 2, 4096):
-                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(k)])) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *lists], names=["batch", "doc_ids", "held", "raws"])
+            for part in slices(b, 2, 4096, BATCH):
+                lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(k)])) for k in range(2)]
+                raws = part.column(2).to_pylist()
+                sizes, joined = pa.array([[len(r) for r in raws]], pa.list_(pa.int64())), b"".join(raws)
+                zipped = pa.array([pa.compress(joined, "zstd", asbytes=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *lists, sizes, zipped], names=["batch", "doc_ids", "held", "sizes", "raws"])
                 n += 1
 
-    texts = stage(plain.mapInArrow(batched, "batch bigint, doc_ids array<bigint>, held array<boolean>, raws array<binary>"), "batches")
+    def texts_of(sizes, zipped):
+        import pyarrow as pa
+
+        whole, out, at = pa.decompress(zipped, sum(sizes), "zstd", asbytes=True), [], 0
+        for n in sizes:
+            out.append(whole[at : at + n])
+            at += n
+        return out
+
+    texts = stage(plain.mapInArrow(batched, "batch bigint, doc_ids array<bigint>, held array<boolean>, sizes array<bigint>, raws binary"), "batches")
 
     def ask(batches):
         import pyarrow as pa
 
         for b in batches:
-            for n, raws in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = Asked(model.value, raws.as_py()).questions()
+            for n, sizes, raws in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                rows = Asked(model.value, texts_of(sizes, raws)).questions()
                 columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([n] * len(rows), pa.int64())]
-                columns += [pa.array([r[1].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([six(r[2]) for r in rows], pa.binary())]
+                columns += [pa.array([r[1].astype("<i8").tobytes() for r in rows], pa.binary()), pa.array([steps(r[2]) for r in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "batch", "words", "grams"])
 
     def probe(batches):
+        from itertools import groupby
+
         import numpy as np
         import pyarrow as pa
 
         at, shard = None, None
         for b in batches:
             out = []
-            for r in b.to_pylist():
-                if r["batch"] < 0:
-                    at, shard = r["shard"], (r["words"], r["counts"], r["bits"])
+            for number, rows in groupby(b.to_pylist(), key=lambda r: r["shard"]):
+                asked = []
+                for r in rows:
+                    if r["batch"] < 0:
+                        at, shard = number, (r["words"], r["counts"], r["bits"])
+                    else:
+                        asked.append((r["batch"], np.frombuffer(r["words"], "<i8"), from_steps(r["grams"])))
+                if not asked:
                     continue
-                counts, level = answered(shard if at == r["shard"] else None, np.frombuffer(r["words"], "<i8"), from_six(r["grams"]))
-                out.append((r["batch"], r["shard"], counts.astype("<i8").tobytes(), level.astype(np.uint8).tobytes()))
+                counts, level = answered(shard if at == number else None, *(np.concatenate([x[k] for x in asked]) for k in (1, 2)))
+                ends = [np.cumsum([len(x[k]) for x in asked])[:-1] for k in (1, 2)]
+                counts, level = np.split(counts.astype("<i8"), ends[0]), np.split(level.astype(np.uint8), ends[1])
+                out += [(x[0], number, c.tobytes(), v.tobytes()) for x, c, v in zip(asked, counts, level, strict=True)]
             if out:
                 types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["batch", "shard", "counts", "levels"])
@@ -471,7 +506,7 @@ def by_exchange(plain: DataFrame, model, shards: DataFrame) -> DataFrame:
         text, counts, level = None, [], []
 
         def close():
-            asked = Asked(model.value, text["raws"])
+            asked = Asked(model.value, texts_of(text["sizes"], text["raws"]))
             c, v = np.frombuffer(b"".join(counts), "<i8"), np.frombuffer(b"".join(level), np.uint8).astype(np.int64)
             return result(pa.array(text["doc_ids"], pa.int64()), pa.array(text["held"], pa.bool_()), asked, c, v)
 
@@ -488,7 +523,7 @@ def by_exchange(plain: DataFrame, model, shards: DataFrame) -> DataFrame:
             yield close()
 
     first = F.lit(-1).cast("bigint")
-    asked = texts.select("batch", "raws").mapInArrow(ask, "shard bigint, batch bigint, words binary, grams binary")
+    asked = texts.select("batch", "sizes", "raws").mapInArrow(ask, "shard bigint, batch bigint, words binary, grams binary")
     sent = shards.select("shard", first.alias("batch"), "words", "counts", "bits").unionByName(asked, allowMissingColumns=True)
     answers = sent.repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(probe, "batch bigint, shard bigint, counts binary, levels binary")
     back = texts.withColumn("shard", first).unionByName(answers, allowMissingColumns=True)
