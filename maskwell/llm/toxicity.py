@@ -36,14 +36,36 @@ UNSEEN = re.compile("[\u0300-\u036f\u0483-\u0487\u00ad\u200b-\u200f\u2060\ufeff]
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "pond scum", "soap scum", "clown fish", "sore loser bracket", "idiot proof")
 
 FOLD = {ord(a): b for odd, plain in LOOKS_LIKE.items() for a, b in zip(odd, plain, strict=True)} | {ord(a): b for a, b in WRITTEN_AS.items()}
-#: A word with digits or signs before letters, or with two at its end.
-SUBSTITUTED = re.compile(r"[^\W\d_]*(?:[0134578@$!]+[^\W\d_]+)+(?:[0134578@$]{1,2}(?!\w))?|[^\W\d_]+[0134578@$]{2}(?!\w)")
+#: A word with digits or signs before letters, or with two at its end. It begins where its letters do, and gives none back.
+SUBSTITUTED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_]*+(?:[0134578@$!]++[^\W\d_]++)++(?:[0134578@$]{1,2}(?!\w))?|[^\W\d_]++[0134578@$]{2}(?!\w))")
 STANDS_FOR = str.maketrans(DIGITS)
+SIGN = re.compile("[0134578@$!]")
 #: What parts words, and where a number begins at the end of one.
-BREAKS, NUMBER = re.compile(r"[\W_]+"), re.compile(r"(?<=[^\W\d_])(?=\d)")
+BREAKS, NUMBER = re.compile(r"[\W_]+"), re.compile(r"\d(?<=[^\W\d_]\d)")
+PLAIN_BREAKS = {k: " " for k in range(128) if not chr(k).isalnum()}
+ODD = re.compile("[^\x00-\x7f]+")
 LONGEST, LEAST_G2 = 8, 24.0
 
 
+class Plainer(dict):
+    """A run of characters beyond ASCII to its folded form; None if that hangs on what is around it, as a sigma's does.
+
+    A worker keeps the first short runs it meets, in about 10 MB.
+    """
+
+    MOST, LONGEST = 40_000, 32
+
+    def __missing__(self, run: str) -> str | None:
+        plain = unicodedata.normalize("NFKD", run)
+        out = None if "Σ" in plain else UNSEEN.sub("", plain).lower().translate(FOLD)
+        if len(self) < self.MOST and len(run) <= self.LONGEST:
+            self[run] = out
+        return out
+
+
+PLAINER = Plainer()
+
+
 def folded(text: str) -> str:
     """Folded words, one space around each.
 
@@ -52,9 +74,15 @@ def folded(text: str) -> str:
     """
     text = text.lower()
     if not text.isascii():
-        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text)).lower().translate(FOLD)
-    text = SUBSTITUTED.sub(lambda m: m[0].translate(STANDS_FOR), text)
-    return f" {BREAKS.sub(' ', NUMBER.sub(' ', text)).strip()} "
+        runs = {run: PLAINER[run] for run in set(ODD.findall(text))}
+        if None in runs.values():
+            text = UNSEEN.sub("", unicodedata.normalize("NFKD", text)).lower().translate(FOLD)
+        else:
+            text = ODD.sub(lambda m: runs[m[0]], text)
+    if SIGN.search(text):
+        text = SUBSTITUTED.sub(lambda m: m[0].translate(STANDS_FOR), text)
+    text = NUMBER.sub(r" \g<0>", text)
+    return f" {' '.join(text.translate(PLAIN_BREAKS).split()) if text.isascii() else BREAKS.sub(' ', text).strip()} "
 
 
 def terms_of(text: str) -> set[str]:
