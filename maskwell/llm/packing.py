@@ -1,22 +1,25 @@
-"""Best-fit packing of token pieces into sequences, in bulk-synchronous steps over runs of equal size.
-
-Sizes are whole numbers up to the capacity, so pieces and gaps, sorted by size, fall into at most ``capacity`` runs each;
-pieces of a run are interchangeable, and so are gaps. A step takes the longest run of pieces that is left and sweeps the
-gaps for its successor, the smallest gap that holds it. When pieces outnumber the gaps (or the places in them), ranks
-resolve the conflict: ranks inside the run are dealt to the gaps in order, and the ranks left over go to the next
-successor, or open new sequences. Gaps are then updated and the step repeats until no run is left. The outcome is that of
-sequential best-fit decreasing, which is known to need at most 11/9 of the best number of sequences.
-
-Only counts per size, at most ``capacity`` of them whatever the number of documents, are handled in one place. The pieces
-are range-sorted by size over all tasks; each task numbers its own, the counts of the tasks give every piece its rank in
-its run, and a sweep over the sorted pieces and the slots of their runs places them.
+"""Best-fit packing of token pieces into sequences, in bulk-synchronous sweeps over tables of runs.
+
+Sizes are whole numbers up to the capacity, so pieces of a size are interchangeable, and so are gaps. Both sides are
+kept as run tables, a row for many pieces of a size or for many consecutive sequences with a gap of a size. Their rows
+are bounded by the capacity, whatever the number of documents. A round:
+
+1. sequences are opened for pieces beyond the widest gap, as many as their tokens need at least (one for each piece of
+   over half the capacity);
+2. pieces and gaps are range-sorted together by size, and every range is swept at once: pieces wait on a stack, and a
+   gap, coming after all that fit it, takes from the top the largest that waits. So a piece meets its successor, the
+   smallest gap that holds it and that no larger piece has a claim to: rank on the stack resolves conflicts;
+3. gaps are updated and staged with the pieces left over, and the next round begins.
+
+A round deals with pieces of over half the size of the largest one left, so that small ones do not take the room of
+larger ones. Tests hold the number of sequences against sequential best-fit decreasing.
+
+The pieces themselves are range-sorted by size over all tasks; each task numbers its own, the counts of the tasks give
+every piece its rank in its run, and a search for the slot of a rank places it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import defaultdict, deque
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,46 +30,84 @@ from .tokens import WORD_BPE, Coder, tokenizer_path
 CAPACITY = 2048
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Slots for ``counts[size]`` pieces of each size.
+#: Rows of the run tables that a task sweeps; more rows make more ranges.
+ROWS_A_RANGE = 1 << 16
+PIECE, GAP, SLOT = 0, 1, 2
+STATE = "kind int, size bigint, first bigint, number bigint, sequence bigint, each bigint, offset bigint"
+
+
+def swept(least: int, capacity: int):
+    """One sweep over a range of ``STATE`` rows that ascend by size, pieces before gaps: what is left, and slots.
+
+    A piece row has the first rank and the number of pieces, a gap row the first sequence and the number of sequences. A
+    slot says that ranks from the first one on go to consecutive sequences, ``each`` in one, the first at the offset.
+    Pieces of less than ``least`` stay.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, waiting, out = [x.split()[0] for x in STATE.split(", ")], [], []
+
+        def gap(size: int, sequence: int, number: int) -> None:
+            if size and number:
+                out.append((GAP, size, sequence, number, 0, 0, 0))
+
+        for b in batches:
+            for kind, size, first, number in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if kind == PIECE:
+                    if size < least:
+                        out.append((PIECE, size, first, number, 0, 0, 0))
+                    else:
+                        waiting.append((size, first, number))
+                    continue
+                while number and waiting:
+                    piece, rank, n = waiting.pop()
+                    each = size // piece
+                    full = min(number, n // each)
+                    for sequences, inside in ((full, each), (int(n < each * number and n % each > 0), n % each)):
+                        if sequences:
+                            out.append((SLOT, piece, rank, sequences * inside, first, inside, capacity - size))
+                            gap(size - inside * piece, first, sequences)
+                            rank, n, first, number = rank + sequences * inside, n - sequences * inside, first + sequences, number - sequences
+                    if n:
+                        waiting.append((piece, rank, n))
+                gap(size, first, number)
+        out += [(PIECE, *x, 0, 0, 0) for x in waiting]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k == 0 else pa.int64()) for k in range(len(names))], names=names)
+
+    return run
+
+
+def best_fit_rounds(runs: DataFrame, capacity: int = CAPACITY, rows_a_range: int = ROWS_A_RANGE) -> list[tuple[int, int, int, int, int, int]]:
+    """Slots (size, first rank, pieces, first sequence, pieces in a sequence, offset) for ``runs(size, number)``.
 
-    A slot (size, first rank, pieces, first sequence, pieces in a sequence, offset) says that ranks from the first one on
-    go to consecutive sequences, so many in each, the first of them at the offset.
+    Each size must lie between 1 and the capacity. Rounds of sweeps go on until no piece is left; each writes its tables
+    into the shared folder. Only totals and the slots come to the driver; like the runs, these are bounded by the capacity.
     """
-    slots, gaps, held, opened = [], [], defaultdict(deque), 0  # held: gap -> runs of sequences (first, number)
-
-    def give(gap: int, first: int, number: int) -> None:
-        if gap and number:
-            if not held[gap]:
-                insort(gaps, gap)
-            held[gap].append((first, number))
-
-    for size in sorted(counts, reverse=True):
-        if not 0 < size <= capacity:
-            raise ValueError(f"size {size} is not between 1 and {capacity}")
-        rank, left = 0, counts[size]
-        while left:
-            k = bisect_left(gaps, size)
-            if k < len(gaps):
-                gap = gaps[k]
-                first, number = held[gap].popleft()
-                if not held[gap]:
-                    gaps.pop(k)
-            else:
-                gap, first, number = capacity, opened, -(-left // (capacity // size))
-                opened += number
-            each = gap // size
-            full = min(number, left // each)
-            if full:
-                slots.append((size, rank, full * each, first, each, capacity - gap))
-                give(gap - each * size, first, full)
-                rank, left = rank + full * each, left - full * each
-            if left and full < number:
-                slots.append((size, rank, left, first + full, left, capacity - gap))
-                give(gap - left * size, first + full, 1)
-                rank, left, full = rank + left, 0, full + 1
-            give(gap, first + full, number - full)
-    return slots
+    spark, zero = runs.sparkSession, F.lit(0).cast("long")
+    state = stage(runs.select(F.lit(PIECE).alias("kind"), "size", zero.alias("first"), "number", zero.alias("sequence"), zero.alias("each"), zero.alias("offset")).coalesce(1), "runs")
+    slots, opened, most = [], 0, None
+    while True:
+        widest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("size")))
+        all_ = state.agg(widest(PIECE).alias("piece"), widest(GAP).alias("gap"), F.count(F.lit(1)).alias("rows")).first()
+        if all_.piece is None:
+            return slots
+        least = all_.piece // 2 + 1
+        if all_.piece > (all_.gap or 0):
+            beyond = state.where((F.col("kind") == PIECE) & (F.col("size") > max(all_.gap or 0, least - 1)))
+            need = beyond.agg(F.sum(F.when(2 * F.col("size") > capacity, F.col("number"))).alias("alone"), F.sum(F.col("size") * F.col("number")).alias("tokens")).first()
+            new = need.alone or -(-need.tokens // capacity)
+            state = state.union(spark.createDataFrame([(GAP, capacity, opened, new, 0, 0, 0)], STATE))
+            opened += new
+        ranges = max(1, min(-(-all_.rows // rows_a_range), most or all_.rows))
+        order = ["size", "kind", "first"]
+        done = stage(state.repartitionByRange(ranges, "size").sortWithinPartitions(*order).mapInArrow(swept(least, capacity), STATE), "sweep")
+        found = done.where(F.col("kind") == SLOT).select("size", "first", "number", "sequence", "each", "offset").collect()
+        slots += [tuple(r) for r in found]
+        # a range without a match keeps its pieces; where no range has one, the next sweep takes wider ranges
+        most = None if found else max(1, ranges // 2)
+        state = done.where(F.col("kind") != SLOT)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", order: list[str] | None = None) -> DataFrame:
@@ -92,7 +133,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length", or
     runs, before = {}, 0
     for size in sorted(counts):
         runs[size], before = before, before + counts[size]
-    slots = sorted(best_fit_runs(counts, capacity))
+    slots = sorted(best_fit_rounds(plain.groupBy(F.col("length").alias("size")).agg(F.count(F.lit(1)).alias("number")), capacity))
     shared = dealt.sparkSession.sparkContext.broadcast((starts, runs, slots))
     return dealt.mapInArrow(placed(shared), StructType([*row, *StructType.fromDDL("sequence_id bigint, offset bigint")])).select("row.*", "sequence_id", "offset")
 

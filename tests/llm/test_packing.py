@@ -21,22 +21,45 @@ def sequential(sizes, capacity):
     return len(gaps), sorted(gaps)
 
 
-def test_runs_equal_sequential_best_fit():
-    rng = random.Random(2)
-    for _ in range(400):
-        capacity = rng.choice([1, 7, 20, 64])
-        sizes = [rng.randint(1, capacity) for _ in range(rng.randrange(120))]
-        counts = {s: sizes.count(s) for s in set(sizes)}
-        used, ranks = defaultdict(set), defaultdict(list)
-        for size, rank, n, first, each, offset in packing.best_fit_runs(counts, capacity):
-            for r in range(n):
-                ranks[size].append(rank + r)
-                spot = range(offset + r % each * size, offset + r % each * size + size)
-                assert not used[first + r // each] & set(spot)
-                used[first + r // each] |= set(spot)
-        assert all(sorted(ranks[s]) == list(range(counts[s])) for s in counts)
-        assert all(u == set(range(len(u))) and len(u) <= capacity for u in used.values())
-        assert (len(used), sorted(capacity - len(u) for u in used.values())) == sequential(sizes, capacity)
+def runs_of(spark, sizes):
+    return spark.createDataFrame([(s, sizes.count(s)) for s in sorted(set(sizes))], "size long, number long")
+
+
+@pytest.mark.parametrize("capacity, rows_a_range", [(1, 1 << 16), (20, 1 << 16), (64, 1 << 16), (64, 8), (97, 3)])
+def test_rounds_place_every_piece_as_tightly_as_sequential_best_fit(spark, capacity, rows_a_range):
+    rng = random.Random(capacity)
+    sizes = [rng.randint(1, capacity) for _ in range(400)]
+    used, ranks = defaultdict(dict), defaultdict(list)
+    for size, rank, n, first, each, offset in packing.best_fit_rounds(runs_of(spark, sizes), capacity, rows_a_range):
+        for r in range(n):
+            ranks[size].append(rank + r)
+            assert used[first + r // each].setdefault(offset + r % each * size, size) == size
+    assert {s: sorted(x) for s, x in ranks.items()} == {s: list(range(sizes.count(s))) for s in set(sizes)}
+    for parts in used.values():
+        at = 0
+        for offset, size in sorted(parts.items()):
+            assert offset == at
+            at += size
+        assert at <= capacity
+    assert sum(len(p) for p in used.values()) == len(sizes) and set(used) == set(range(len(used)))
+    assert len(used) <= 1.01 * sequential(sizes, capacity)[0] + 1
+
+
+def test_small_pieces_and_one_size(spark):
+    for sizes in ([3] * 100, [1] * 50, [20], [11] * 7 + [9] * 7):
+        slots = packing.best_fit_rounds(runs_of(spark, sizes), 20)
+        assert max(first - (-n // each) for _, _, n, first, each, _ in slots) == sequential(sizes, 20)[0]
+    assert packing.best_fit_rounds(runs_of(spark, [20]).limit(0), 20) == []
+
+
+def test_sweep_gives_a_gap_to_the_largest_piece_that_fits():
+    import pyarrow as pa
+
+    rows = [(0, 3, 0, 2), (0, 5, 0, 1), (1, 6, 7, 2), (0, 8, 0, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["kind", "size", "first", "number"])
+    out = [tuple(r.values()) for b in packing.swept(1, 10)(iter([batch])) for r in b.to_pylist()]
+    assert [r for r in out if r[0] == packing.SLOT] == [(2, 5, 0, 1, 7, 1, 4), (2, 3, 0, 2, 8, 2, 4)]
+    assert [r[:4] for r in out if r[0] != packing.SLOT] == [(1, 1, 7, 1), (0, 8, 0, 1)]
 
 
 def test_pack_bad_lengths(spark):
