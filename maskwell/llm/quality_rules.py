@@ -1,8 +1,9 @@
 """Quality rules: statistics of a text, and cross-document line frequency.
 
-Lines are normalised and hashed; a line that stands in more distinct texts of one host than a limit is boilerplate there
-and is removed; a document of which too little is left is rejected. Copies of a text count once, so that being copied
-does not turn a document into boilerplate; removing copies is another operator's work.
+Lines are normalised and hashed; a line that stands in more documents of one host than a limit is boilerplate there and
+is removed; a document of which too little is left is rejected. Every row is a document and counts once for a line, however
+often the line stands in it. So a text with more copies on a host than the limit is boilerplate as a whole; where such texts
+are to stay, copies are removed first.
 
 All of it is DataFrame code. Inside a row, arrays and higher-order functions do the work, so no text is ever exploded
 into windows; across rows only line hashes are shuffled, summed up in the map tasks first.
@@ -17,8 +18,8 @@ from .common import SPACE, WORD, let, stage, table, text_of
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A line may stand in so many distinct texts of a host; a document must keep this share of its words.
-MAX_TEXTS_PER_HOST, MIN_KEPT_SHARE = 20, 0.5
+#: A line may stand in so many documents of a host; a document must keep this share of its words.
+MAX_DOCUMENTS_PER_HOST, MIN_KEPT_SHARE = 20, 0.5
 
 
 def words_of(text: Column) -> Column:
@@ -78,19 +79,19 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2")]
 
 
-def removed_words(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS_PER_HOST) -> DataFrame:
+def removed_words(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS_PER_HOST) -> DataFrame:
     """``host, k1, k2, removed``: for each text of each host that has boilerplate lines, the words in them."""
     rows = docs.select(F.col(host).cast("string").alias("host"), *text_key(text_of()), normalised_lines(text_of()).alias("lines"))
-    texts = stage(rows.groupBy("host", "k1", "k2").agg(F.any_value("lines").alias("lines")), "lines")
-    once = texts.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    hot = once.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_texts).drop("n")
+    texts = stage(rows.groupBy("host", "k1", "k2").agg(F.any_value("lines").alias("lines"), F.count(F.lit(1)).alias("copies")), "lines")
+    once = texts.select("host", "copies", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
+    hot = once.groupBy("host", "h").agg(F.sum("copies").alias("n")).where(F.col("n") > max_documents).drop("n")
     each = texts.select("host", "k1", "k2", F.inline("lines")).alias("e")
     hot = hot.alias("t")
     found = each.join(hot, F.col("e.host").eqNullSafe(F.col("t.host")) & (F.col("e.h") == F.col("t.h"))).select("e.*")
     return found.groupBy("host", "k1", "k2").agg(F.sum("w").cast("long").alias("removed"))
 
 
-def judge(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS_PER_HOST, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS_PER_HOST, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """Statistics and verdict for each row of ``docs``.
 
     Gives ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept``.
@@ -101,7 +102,7 @@ def judge(docs: DataFrame, host: str = "source", max_texts: int = MAX_TEXTS_PER_
     one by one and alike. Empty table: no rows. Other columns are not read.
     """
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), *text_key(text_of()), text_stats(text_of()).alias("s")).alias("d")
-    gone = removed_words(docs, host, max_texts).alias("g")
+    gone = removed_words(docs, host, max_documents).alias("g")
     same = F.col("d.host").eqNullSafe(F.col("g.host")) & (F.col("d.k1") == F.col("g.k1")) & (F.col("d.k2") == F.col("g.k2"))
     out = rows.join(gone, same, "left").select("doc_id", "s.*", F.coalesce("removed", F.lit(0)).cast("long").alias("removed_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -127,9 +128,10 @@ places AS (
   FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM windows) WHERE c > 1),
 repeats AS (SELECT r, sum(n)::BIGINT AS n FROM places GROUP BY r),
 lines AS (
-  SELECT source, text, trim(regexp_replace(regexp_replace(lower(unnest(any_value(lines))), '[{SPACE}]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS line
+  SELECT source, text, count(*) AS copies, trim(regexp_replace(regexp_replace(lower(unnest(any_value(lines))), '[{SPACE}]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS line
   FROM parts GROUP BY source, text),
-hot AS (SELECT source, line FROM lines GROUP BY source, line HAVING count(DISTINCT text) > {MAX_TEXTS_PER_HOST}),
+hot AS (
+  SELECT source, line FROM (SELECT DISTINCT source, text, copies, line FROM lines) GROUP BY source, line HAVING sum(copies) > {MAX_DOCUMENTS_PER_HOST}),
 gone AS (
   SELECT lines.source, text, sum(len(lines.line) - len(replace(lines.line, ' ', '')) + 1)::BIGINT AS n
   FROM lines JOIN hot ON lines.line = hot.line AND lines.source IS NOT DISTINCT FROM hot.source GROUP BY lines.source, text),
