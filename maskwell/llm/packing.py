@@ -98,11 +98,12 @@ def best_fit_rounds(runs: DataFrame, capacity: int = CAPACITY, rows_a_range: int
             beyond = state.where((F.col("kind") == PIECE) & (F.col("size") > max(all_.gap or 0, least - 1)))
             need = beyond.agg(F.sum(F.when(2 * F.col("size") > capacity, F.col("number"))).alias("alone"), F.sum(F.col("size") * F.col("number")).alias("tokens")).first()
             new = need.alone or -(-need.tokens // capacity)
-            state = state.union(spark.createDataFrame([(GAP, capacity, opened, new, 0, 0, 0)], STATE))
+            values = [GAP, capacity, opened, new, 0, 0, 0]
+            state = state.union(spark.range(0, 1, 1, 1).select(*[F.lit(v).cast(t.split()[1]).alias(t.split()[0]) for v, t in zip(values, STATE.split(", "), strict=True)]))
             opened += new
         ranges = max(1, min(-(-all_.rows // rows_a_range), most or all_.rows))
-        order = ["size", "kind", "first"]
-        done = stage(state.repartitionByRange(ranges, "size").sortWithinPartitions(*order).mapInArrow(swept(least, capacity), STATE), "sweep")
+        ranged = state.repartitionByRange(ranges, "size") if ranges > 1 else state.coalesce(1)
+        done = stage(ranged.sortWithinPartitions("size", "kind", "first").mapInArrow(swept(least, capacity), STATE), "sweep")
         found = done.where(F.col("kind") == SLOT).select("size", "first", "number", "sequence", "each", "offset").collect()
         slots += [tuple(r) for r in found]
         # a range without a match keeps its pieces; where no range has one, the next sweep takes wider ranges
