@@ -6,7 +6,8 @@ Two facts about the vocabularies used here, checked by the tests against the lib
   both sides of it into one piece, and neither looks back across it, so the tokens of a text are the tokens of its
   parts, one after the other.
 * Texts repeat their parts. Where ids are wanted, a worker keeps the tokens of the short parts that it met first, up to a
-  number of bytes, and encodes only the others.
+  number of bytes, and encodes only the others. The word vocabulary drops white space and case, so there every space and
+  line feed is a cut, and the parts of Latin-1 texts are kept in lower case.
 
 Counts go through overlap resynchronisation: texts of more than a chunk are cut into overlapping chunks, each is encoded
 with offsets, and two neighbours are spliced at a safe boundary inside their overlap at which both have a token boundary.
@@ -34,6 +35,8 @@ MEMO_BYTES, MEMO_PART = 144 << 20, 64
 SAFE = re.compile(r"(?<=[!-~¡-¬®-˿Ͱ-ͷΆ-ҁҊ-ԯ]) ")
 ODD = re.compile(r"(?<![!-~¡-¬®-˿Ͱ-ͷΆ-ҁҊ-ԯ]) ")
 LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Letters between ASCII marks. An apostrophe before letters may belong to them.
+MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,11 +69,14 @@ class Coder:
         self.model = self.library.model
         self.letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
         self.drops_space = self.library.normalizer is not None  # the word vocabulary; the byte vocabulary keeps spaces
-        self.memo: dict[str, bytes] = {}
+        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.memo: dict[str, bytes] = {"": b""}
         self.room = MEMO_BYTES
 
     def keep(self, part: str, ids: bytes) -> None:
         """Remember the ids of a short part while there is room; an entry takes about 180 bytes beside its content."""
+        if self.room < 180:
+            return
         size = 180 + len(part) + len(ids)
         if len(part) <= MEMO_PART and size <= self.room and part not in self.memo:
             self.memo[part] = ids
@@ -85,33 +91,64 @@ class Coder:
     def library_ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def model_ids(self, run: str) -> bytes:
+        """The ids of one pre-token that needs no normalisation, straight from the model."""
+        return array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def part_ids(self, part: str) -> bytes:
         """The ids of a part between safe boundaries, as native 32-bit numbers.
 
         Runs of lower-case Latin letters go to the model at once; they are one pre-token and need no normalisation.
         Anything else goes through the whole library.
         """
-        word = part[1:] if part[:1] == " " else part
-        plain = word.lower() if self.drops_space else word
-        tail = ""
-        if plain[-1:] in (".", ",") and self.drops_space:
-            plain, tail = plain[:-1], plain[-1]
-        if not LETTERS.fullmatch(plain) or (self.drops_space and not word.isascii() and word.lower() != word and not LETTERS.fullmatch(word[1:].rstrip(".,"))):
-            return array("I", self.library_ids(part)).tobytes()
-        key = f" {plain}" if self.drops_space else part  # a dropped space doesn't count
-        ids = self.memo.get(key)
-        if ids is None:
-            run = plain if self.drops_space else part
-            ids = array("I", [t.id for t in self.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            self.keep(key, ids)
-        if tail:
-            mark = self.memo.get(tail)
-            if mark is None:
-                mark = array("I", self.library_ids(tail)).tobytes()
-                self.keep(tail, mark)
-            ids += mark
+        if LETTERS.fullmatch(part[1:] if part[:1] == " " else part):
+            return self.model_ids(part)
+        return array("I", self.library_ids(part)).tobytes()
+
+    def lowered(self, text: str) -> str | None:
+        """A Latin-1 text in lower case, as the normalizer makes it; None for others and where that could make a special token."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        low = text.lower()
+        for special in self.special:
+            if special in low:
+                return None
+        return low
+
+    def known(self, word: str) -> bytes:
+        ids = self.memo.get(word)
+        return self.low_ids(word) if ids is None else ids
+
+    def low_ids(self, word: str) -> bytes:
+        """The ids of a new word that ``lowered`` gave. What stands before and after its letters are pre-tokens of their own."""
+        if LETTERS.fullmatch(word):
+            ids = self.model_ids(word)
+        elif found := MARKED.fullmatch(word):
+            ids = b"".join(map(self.known, found.groups()))
+        else:
+            ids = array("I", self.library_ids(word)).tobytes()
+        self.keep(word, ids)
+        return ids
+
+    def any_ids(self, word: str) -> bytes:
+        """The ids of any new word."""
+        low = self.lowered(word)
+        ids = array("I", self.library_ids(word)).tobytes() if low is None else self.known(low)
+        self.keep(word, ids)
         return ids
 
+    def words(self, text: str) -> bytes:
+        """The ids of a text, by its words; only for the word vocabulary, which drops the spaces between them."""
+        low = self.lowered(text)
+        text, new = (text, self.any_ids) if low is None else (low, self.low_ids)
+        out, get = [], self.memo.get
+        for word in text.replace("\n", " ").split(" "):
+            ids = get(word)
+            out.append(new(word) if ids is None else ids)
+        return b"".join(out)
+
     def parts(self, text: str) -> list[str]:
         """The text cut at its safe boundaries; all parts but the first begin with a space."""
         found = text.split(" ")
@@ -136,7 +173,7 @@ class Coder:
 
     def ids(self, text: str) -> bytes:
         """The ids of a text of any length, by its parts."""
-        return self.small(text)
+        return self.words(text) if self.drops_space else self.small(text)
 
     def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int, int]:
         """Tokens of a text, and how many splices and widenings it took to count them."""

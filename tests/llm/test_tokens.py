@@ -71,3 +71,23 @@ def test_known_parts_take_bounded_bytes():
     for k in range(200):
         coder.ids(f"part{k} 第{k}部分{'文' * 100} x")
     assert 0 <= coder.room < 3000 and all(len(p) <= tokens.MEMO_PART for p in coder.memo)
+
+
+def test_words_between_marks_and_lines_equal_the_library():
+    rng, coder = random.Random(7), tokens.Coder(tokens.tokenizer_path(tokens.WORD_BPE))
+    bits = ["don", "'s", "'", "t", "(", ")", "###", "$", "Über", "É", "ß", "µ", "²", "×", "\n", "\n", " ", "\r\n", "\t", "\x85", "\xa0", "<|endoftext|>", "<|EndOfText|>", "<|", "|>", "endoftext", "_", "``", "9", "é", "́", "ſ", "İ", "’", "ΑΣ", "​", "x" * 70]
+    for k in range(8000):
+        coder.room = 5000 if k % 50 == 0 else coder.room
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(10)))
+        assert list(array("I", coder.ids(text))) == library(tokens.WORD_BPE, text), repr(text)
+    for code in [*range(0x0, 0x3100), *range(0xFE00, 0x10000, 3)]:
+        for text in (f"a{chr(code)}\n{chr(code)}b", f"B {chr(code)}\n\nA{chr(code)}!"):
+            assert list(array("I", coder.ids(text))) == library(tokens.WORD_BPE, text), hex(code)
+
+
+def test_known_words_need_no_encoding_in_other_forms():
+    coder = tokens.Coder(tokens.tokenizer_path(tokens.WORD_BPE))
+    coder.ids("alpha beta . !! ( ###")
+    coder.library_ids = coder.model = None
+    for text in ("ALPHA Beta.\nAlpha!!\nbeta###", "(Alpha\n\nBETA  alpha###"):
+        assert list(array("I", coder.ids(text))) == library(tokens.WORD_BPE, text)
