@@ -1,35 +1,75 @@
-"""Similarity joins and top-k: a bounded batch of queries, broadcast, against a database that is read once.
+"""Similarity joins and top-k: requests against the database, by pairs of blocks (``functions.blocks``).
 
-Both eyes of an identity stand in one row. A condition on one eye is tested before the other eye's distance is worked
-out, which replaces the reference model's semi-join between eyes; no join but the theta join itself is left.
+Both eyes of an identity stand in one row, which replaces the reference model's semi-join between eyes; no join but the
+theta join itself is left, and what a query doesn't return is reduced inside its block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import distance as D
 from ..registry import query
 from ..sources import fixtures as X
 
-
-def eye_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``req, serial, eye, hd, md`` for every query and database row, eye by eye."""
-    c = X.codes(spark, sf_dir)
-    q = X.bounded(X.requests(c).select("req", F.col("eye").alias("q_eye"), F.col("code").alias("q_code"), F.col("mask").alias("q_mask")))
-    hd, md = D.hd_md(F.col("q_code"), F.col("q_mask"), F.col("code"), F.col("mask"))
-    return X.database(c).join(q, F.col("eye") == F.col("q_eye")).select("req", "serial", "eye", hd.alias("hd"), md.alias("md"))
+EYES = (("L", "_l"), ("R", "_r"))
 
 
-def both_eyes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``req, serial, hd_l, md_l, hd_r, md_r``."""
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and database, both eyes in one row."""
     e = X.eyes(spark, sf_dir)
-    q = X.requests(e)
-    q = X.bounded(q.select("req", *[F.col(c).alias(f"q_{c}") for c in q.columns if c != "req"]))
-    pair = lambda s: D.hd_md(F.col(f"q_code_{s}"), F.col(f"q_mask_{s}"), F.col(f"code_{s}"), F.col(f"mask_{s}"))
-    left, right = pair("l"), pair("r")
-    return X.database(e).crossJoin(q).select("req", "serial", left[0].alias("hd_l"), left[1].alias("md_l"), right[0].alias("hd_r"), right[1].alias("md_r"))
+    of = ("code_l", "mask_l", "code_r", "mask_r")
+    return X.requests(e).select("req", *of), X.database(e).select("serial", *of)
+
+
+def eye_pairs(spark: SparkSession, sf_dir: str, keep: Callable[[B.Side], object] | None = None) -> DataFrame:
+    """``req, serial, eye, hd, md`` for every query and database row, eye by eye; with ``keep`` for those that it marks."""
+
+    def everything(q, d, at, beside):
+        for eye, end in EYES:
+            s = B.Side(q, d, at, beside, end, end)
+            yield None, B.said(eye, s.hd.size), s.hd.ravel(), s.md.ravel()
+
+    def marked(eye, end):
+        def rows(q, d, at):
+            s = B.Side(q, d, at, q_end=end, d_end=end)
+            return keep(s), lambda part: B.said(eye, len(part)), s.hd, s.md
+
+        return B.matches(rows)
+
+    def kernel(q, d):
+        for eye, end in EYES:
+            yield from marked(eye, end)(q, d)
+
+    schema = "req bigint, serial bigint, eye string, hd bigint, md bigint"
+    return B.compared(*sides(spark, sf_dir), kernel, schema) if keep else B.compared(*sides(spark, sf_dir), B.every(everything), schema, B.ROWS_OUT)
+
+
+def both_eyes(spark: SparkSession, sf_dir: str, keep: Callable[[B.Side, B.Side], object] | None = None) -> DataFrame:
+    """``req, serial, hd_l, md_l, hd_r, md_r`` of every pair, or of those that ``keep`` marks by their left and right distances."""
+
+    def rows(q, d, at):
+        left, right = both_sides(q, d, at)
+        return keep(left, right) if keep else left.hd >= 0, left.hd, left.md, right.hd, right.md
+
+    return B.compared(*sides(spark, sf_dir), B.matches(rows), "req bigint, serial bigint, hd_l bigint, md_l bigint, hd_r bigint, md_r bigint")
+
+
+def both_sides(q: dict, d: dict, at: slice) -> tuple[B.Side, B.Side]:
+    return B.Side(q, d, at, q_end="_l", d_end="_l"), B.Side(q, d, at, q_end="_r", d_end="_r")
+
+
+def left_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests and database with the left eye's ``code, mask``."""
+    return tuple(x.select(x.columns[0], F.col("code_l").alias("code"), F.col("mask_l").alias("mask")) for x in sides(spark, sf_dir))
+
+
+def both_match(left: B.Side, right: B.Side, threshold: float = D.STRICT):
+    return left.close(threshold) & right.close(threshold)
 
 
 def is_close(side: str, threshold: float = D.STRICT) -> Column:
@@ -56,6 +96,39 @@ def nhd_pairs(spark, sf_dir):
     return eye_pairs(spark, sf_dir).select("req", "serial", "eye", D.nhd_numerator(F.col("hd"), F.col("md")).alias("nmr"), "md")
 
 
+REACH = 3
+
+
+def one_row(rows: DataFrame, spark, sf_dir, group: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` of pairs, brought together by ``group`` where an id comes twice."""
+    q, d = sides(spark, sf_dir)
+    return rows if B.unique(q.select("req"), "req") and B.unique(d.select("serial"), "serial") else group(rows)
+
+
+def min_rotation(spark, sf_dir, order: str) -> DataFrame:
+    """The least distance over rotations of the query side only; the database is never rotated. The first rotation wins a tie."""
+
+    def least(q, d, at, beside):
+        import numpy as np
+
+        rank = B.ranks(order).astype(np.int64)
+        tables = [np.where(rank == B.NONE, B.NONE, rank * (2 * REACH + 1) + k).astype(np.uint16) for k in range(2 * REACH + 1)]
+        for eye, end in EYES:
+            best = place = None
+            for k, turned in enumerate(B.rotations({c: x[at] for c, x in q.items()}, REACH, (end,))):
+                s = B.Side(turned, d, slice(None), beside, end, end)
+                key, now = s.of(tables[k]), s.place()
+                better = key < best if k else None
+                best, place = (np.where(better, key, best), np.where(better, now, place)) if k else (key, now)
+            hit = np.flatnonzero(best != B.NONE)
+            md, hd = np.divmod(place.ravel()[hit], B.WIDTH)
+            yield hit, B.said(eye, len(hit)), hd, md, best.ravel()[hit] % (2 * REACH + 1) - np.int32(REACH)
+
+    rows = B.compared(*sides(spark, sf_dir), B.every(least), "req bigint, serial bigint, eye string, hd bigint, md bigint, rot int", B.ROWS_OUT)
+    best = F.min(F.struct({"fhd": D.fhd, "nhd": D.nhd}[order](F.col("hd"), F.col("md")).alias("d"), "rot", "hd", "md")).alias("best")
+    return one_row(rows, spark, sf_dir, lambda r: r.groupBy("req", "serial", "eye").agg(best).select("req", "serial", "eye", "best.hd", "best.md", "best.rot"))
+
+
 def rotated_pairs(spark, sf_dir, reach: int = 3) -> DataFrame:
     """Distances over rotations of the query side only; the database is never rotated."""
     c = X.codes(spark, sf_dir)
@@ -137,11 +210,10 @@ def intra_batch_pairs(spark, sf_dir):
     return hits.groupBy(F.col("req").alias("later"), "earlier").agg(F.bool_or(F.col("eye") == "L").alias("left_match"), F.bool_or(F.col("eye") == "R").alias("right_match"))
 
 
-def nearest(spark, sf_dir, k: int) -> DataFrame:
-    """The ``k`` nearest left codes of each request, by fraction, then serial; the plan limits groups before the shuffle."""
-    rows = both_eyes(spark, sf_dir).where("md_l > 0").select("req", "serial", F.col("hd_l").alias("hd"), F.col("md_l").alias("md"))
-    rank = F.row_number().over(Window.partitionBy("req").orderBy(D.fhd(F.col("hd"), F.col("md")), "serial"))
-    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+def nearest(spark, sf_dir, k: int, down: bool = False) -> DataFrame:
+    """The ``k`` nearest left codes of each request, by fraction, then serial; with ``down`` the furthest."""
+    found = B.k_nearest(*left_sides(spark, sf_dir), k, down=down)
+    return found.select("req", "serial", "hd", "md", F.col("rank").cast("long").alias("rank"))
 
 
 LEFT = "(SELECT req, serial, hd, md FROM pairs WHERE eye = 'L' AND md > 0)"
@@ -160,8 +232,7 @@ def knn_truncated(spark, sf_dir):
 
 @query("argmin", f"WITH {X.CODES} SELECT * FROM {LEFT} QUALIFY {WINDOW_K} = 1")
 def argmin(spark, sf_dir):
-    best = F.min(F.struct(D.fhd(F.col("hd_l"), F.col("md_l")).alias("d"), "serial", "hd_l", "md_l")).alias("b")
-    return both_eyes(spark, sf_dir).where("md_l > 0").groupBy("req").agg(best).select("req", "b.serial", F.col("b.hd_l").alias("hd"), F.col("b.md_l").alias("md"))
+    return nearest(spark, sf_dir, 1).drop("rank")
 
 
 @query("furthest", f"WITH {X.CODES} SELECT * FROM {LEFT} QUALIFY row_number() OVER (PARTITION BY req ORDER BY hd::DOUBLE / md DESC, serial) = 1")
