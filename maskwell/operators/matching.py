@@ -237,8 +237,7 @@ def argmin(spark, sf_dir):
 
 @query("furthest", f"WITH {X.CODES} SELECT * FROM {LEFT} QUALIFY row_number() OVER (PARTITION BY req ORDER BY hd::DOUBLE / md DESC, serial) = 1")
 def furthest(spark, sf_dir):
-    best = F.min(F.struct((-D.fhd(F.col("hd_l"), F.col("md_l"))).alias("d"), "serial", "hd_l", "md_l")).alias("b")
-    return both_eyes(spark, sf_dir).where("md_l > 0").groupBy("req").agg(best).select("req", "b.serial", F.col("b.hd_l").alias("hd"), F.col("b.md_l").alias("md"))
+    return nearest(spark, sf_dir, 1, down=True).drop("rank")
 
 
 @query("topk_truncated_with_count", f"{WITH} SELECT req, count(*) AS n_matches, list(serial ORDER BY serial)[1:4] AS partial FROM wide WHERE close_l GROUP BY req")
