@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import distance as D
 from ..registry import query
 from ..sources import fixtures as X
@@ -42,6 +43,14 @@ def luc_lookback(spark, sf_dir):
     return pairs.select("req", "serial", (M.is_close("l") | M.is_close("r")).alias("is_match"))
 
 
+def named_pairs(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """``req, serial, hd_l, md_l, hd_r, md_r`` of the pairs in ``ids``: two joins by id, no other pair is looked at."""
+    q, d = M.sides(spark, sf_dir)
+    rows = ids.join(q.select("req", *[F.col(c).alias(f"q_{c}") for c in q.columns[1:]]), "req").join(d, "serial")
+    pair = lambda s: D.hd_md(F.col(f"q_code_{s}"), F.col(f"q_mask_{s}"), F.col(f"code_{s}"), F.col(f"mask_{s}"))
+    return rows.select("req", "serial", *[x.alias(f"{n}_{s}") for s in "lr" for n, x in zip(("hd", "md"), pair(s))])
+
+
 @query("reauth_rule", f"{WITH} SELECT r.req, t AS target, r.req % 3 = 0 AS or_rule, CASE WHEN r.req % 3 = 0 THEN close_l OR close_r ELSE close_l AND close_r END AS success FROM (SELECT *, req + 1 AS t FROM requests WHERE request_type = 'reauth') r JOIN wide w ON w.req = r.req AND w.serial = t")
 def reauth_rule(spark, sf_dir):
     r = request_table(spark, sf_dir).where("request_type = 'reauth'").select("req", (F.col("req") + 1).alias("serial"))
@@ -67,11 +76,15 @@ MIRROR = f"""mq AS (SELECT req, CASE eye WHEN 'L' THEN 'R' ELSE 'L' END AS eye,
 @query("mirror_attack", f"{WITH}, {MIRROR}, n AS (SELECT req, count(*) AS n FROM wide WHERE close_l AND close_r GROUP BY req), m AS (SELECT req, count(*) AS n FROM mw GROUP BY req) SELECT r.req, coalesce(n.n, 0)::BIGINT AS normal_n, coalesce(m.n, 0)::BIGINT AS mirror_n, coalesce(n.n, 0) = 0 AND coalesce(m.n, 0) > 0 AS attack FROM requests r LEFT JOIN n USING (req) LEFT JOIN m USING (req)")
 def mirror_attack(spark, sf_dir):
     """Requests that match nothing as they are and something in the mirror, with the eyes swapped. One scan does both."""
-    e = X.eyes(spark, sf_dir)
-    q = X.requests(e)
-    q = X.bounded(q.select("req", *[F.col(f"{c}_{s}").alias(f"q_{c}_{s}") for c in ("code", "mask") for s in "lr"], *[mirrored(F.col(f"{c}_{o}")).alias(f"m_{c}_{s}") for c in ("code", "mask") for s, o in ("lr", "rl")]))
-    hit = lambda p: D.close(*D.hd_md(F.col(f"{p}_code_l"), F.col(f"{p}_mask_l"), F.col("code_l"), F.col("mask_l"))) & D.close(*D.hd_md(F.col(f"{p}_code_r"), F.col(f"{p}_mask_r"), F.col("code_r"), F.col("mask_r")))
-    rows = X.database(e).crossJoin(q).groupBy("req").agg(F.count_if(hit("q")).alias("normal_n"), F.count_if(hit("m")).alias("mirror_n"))
+    q, d = M.sides(spark, sf_dir)
+    q = q.select("*", *[mirrored(F.col(f"{c}_{o}")).alias(f"{c}_m{s}") for c in ("code", "mask") for s, o in ("lr", "rl")])
+
+    def both(q, d, at):
+        plain, turned = ([B.Side(q, d, at, q_end=f"_{m}{s}", d_end=f"_{s}") for s in "lr"] for m in ("", "m"))
+        return [M.both_match(*plain), M.both_match(*turned)]
+
+    n = B.compared(q, d, B.counts(both), "req bigint, normal_n bigint, mirror_n bigint")
+    rows = n.groupBy("req").agg(F.sum("normal_n").alias("normal_n"), F.sum("mirror_n").alias("mirror_n"))
     return rows.withColumn("attack", (F.col("normal_n") == 0) & (F.col("mirror_n") > 0))
 
 
