@@ -162,11 +162,42 @@ def matched_rotations(spark, sf_dir):
 
 @query("int4_dot_top1", "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(-8, least(7, floor(x::DOUBLE * 8)))::BIGINT) AS v FROM embeddings) SELECT a.vec_id AS req, b.vec_id AS hit, list_sum(list_transform(range(1, 65), lambda i: a.v[i] * b.v[i]))::BIGINT AS dot FROM v a JOIN v b ON a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY dot DESC, b.vec_id) = 1")
 def int4_dot_top1(spark, sf_dir):
-    """The closest vector by inner product of 4-bit integers."""
-    four = F.transform("embedding", lambda x: F.greatest(F.lit(-8), F.least(F.lit(7), F.floor(x.cast("double") * 8).cast("long"))).cast("long"))
+    """The closest vector by inner product of 4-bit integers: one product of matrices a pair of blocks, exact in floats."""
+    four = F.transform("embedding", lambda x: F.greatest(F.lit(-8), F.least(F.lit(7), F.floor(x.cast("double") * 8).cast("long"))).cast("byte"))
     v = X.table(spark, sf_dir, "embeddings").select("vec_id", four.alias("v"))
-    q = X.bounded(v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("req"), F.col("v").alias("qv")))
-    scored = v.where("vec_id % 10 <> 0").crossJoin(q).select("req", F.col("vec_id").alias("hit"), D.int4_dot(F.col("v"), F.col("qv")).alias("dot"))
+
+    def matrix(v, width):
+        """Vectors as rows, and their lengths; -1 for a missing one."""
+        import numpy as np
+
+        n = v.value_lengths().fill_null(-1).to_numpy()
+        out, inside = np.zeros((len(n), width), np.float32), np.arange(width) < n[:, None]
+        out[inside] = v.flatten().to_numpy()
+        return out, n
+
+    def kernel(q, d):
+        import numpy as np
+
+        if not len(d["id"]):
+            return
+        width = max(0, *(v.value_lengths().fill_null(0).to_numpy().max(initial=0) for v in (q["v"], d["v"])))
+        (a, a_n), (b, b_n) = matrix(q["v"], width), matrix(d["v"], width)
+        for at in B.strips(q, d):
+            dot = a[at] @ b.T
+            if len({*a_n[at], *b_n}) > 1 or a_n[0] < 0:
+                dot[(a_n[at, None] != b_n) | (b_n < 0)] = -np.inf  # vectors of different lengths have no product
+            best = dot.argmax(axis=1)  # rows stand in order of ids
+            most = dot[np.arange(len(best)), best]
+            yield [q["id"][at], d["id"][best], pa_int(most)]
+
+    def pa_int(x):
+        import numpy as np
+        import pyarrow as pa
+
+        none = np.isneginf(x)
+        return pa.array(np.where(none, 0, x).astype(np.int64), mask=none)
+
+    scored = B.compared(v.where("vec_id % 10 = 0"), v.where("vec_id % 10 <> 0"), kernel, "req bigint, hit bigint, dot bigint")
     return scored.groupBy("req").agg(F.max(F.struct("dot", (-F.col("hit")).alias("n"))).alias("b")).select("req", (-F.col("b.n")).alias("hit"), "b.dot")
 
 

@@ -11,7 +11,7 @@ from tests.oracle import difference
 
 SF = "/root/testdata/sf0.001"
 NAMES = """
-ann_recall argmin furthest insertion_list
+ann_recall argmin furthest insertion_list int4_dot_top1
 """.split()
 
 
