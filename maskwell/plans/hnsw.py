@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import distance as D
 from ..operators.graphs import beyond_nearest
 from ..registry import query
@@ -121,15 +122,21 @@ class Graph:
 def ideal(codes: DataFrame, params: Params = Params()) -> Graph:  # noqa: B008
     """The graph of exact nearest neighbours in each layer, linked both ways; for a bounded first batch and as a yardstick."""
     graph = Graph(codes, codes.select(F.lit(0).cast("long").alias("layer"), F.col("serial").alias("src"), F.col("serial").alias("dst")).limit(0), params)
-    member = codes.select("serial", "code", "mask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("layer").cast("long"))).alias("layer"))
-    other = X.bounded(member.select("layer", F.col("serial").alias("dst"), F.col("code").alias("q_code"), F.col("mask").alias("q_mask")))
-    hd, md = D.hd_md(F.col("q_code"), F.col("q_mask"), F.col("code"), F.col("mask"))
-    near = member.join(other, "layer").where("serial <> dst").select("layer", F.col("serial").alias("src"), "dst", D.fhd(hd, md).alias("dist")).where("dist IS NOT NULL")
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("layer", "src").orderBy("dist", "dst"))).where(F.col("k") <= params.m)
-    made = best.select("layer", "src", "dst")
+    made = nearest_in_layers(codes, graph.top(), params.m)
     return replace(graph, edges=graph.compacted(made.union(made.select("layer", F.col("dst").alias("src"), F.col("src").alias("dst")))))
 
 
+def nearest_in_layers(codes: DataFrame, top: int, k: int) -> DataFrame:
+    """``layer, src, dst``: the exact ``k`` nearest of each node among the members of each layer; quadratic, by pairs of blocks."""
+    made = None
+    for layer in range(top + 1):
+        member = codes.where(F.col("layer") >= layer)
+        near = B.k_nearest(member.withColumnRenamed("serial", "req"), member, k, itself=False)
+        part = near.select(F.lit(layer).cast("long").alias("layer"), F.col("req").alias("src"), F.col("serial").alias("dst"))
+        made = part if made is None else made.union(part)
+    return made
+
+
 def left_codes(spark, sf_dir) -> DataFrame:
     return X.eyes(spark, sf_dir).select("serial", F.col("code_l").alias("code"), F.col("mask_l").alias("mask"))
 
@@ -145,11 +152,7 @@ def built(spark, sf_dir) -> Graph:
 def layer_ideal(spark, sf_dir):
     """The exact four nearest of each node among the members of its layer: the yardstick of a built graph, quadratic by nature."""
     codes = X.database(left_codes(spark, sf_dir)).withColumn("layer", (F.col("serial") % 8 == 0).cast("int"))
-    member = X.cut(codes.select("serial", "code", "mask", F.explode(F.sequence(F.lit(0), F.col("layer"))).alias("layer")))
-    other = X.bounded(member.select("layer", F.col("serial").alias("dst"), F.col("code").alias("q_code"), F.col("mask").alias("q_mask")))
-    hd, md = D.hd_md(F.col("q_code"), F.col("q_mask"), F.col("code"), F.col("mask"))
-    near = member.join(other, "layer").where("serial <> dst").select("layer", F.col("serial").alias("src"), "dst", D.fhd(hd, md).alias("dist")).where("dist IS NOT NULL")
-    return near.withColumn("k", F.row_number().over(Window.partitionBy("layer", "src").orderBy("dist", "dst"))).where("k <= 4").select("layer", "src", "dst")
+    return nearest_in_layers(X.cut(codes), 1, 4).withColumn("layer", F.col("layer").cast("int"))
 
 
 @query("hnsw_search")
