@@ -35,11 +35,10 @@ def luc_lookback(spark, sf_dir):
     """Rule ids and the N + 1 newest serials, where either eye matches; checks and re-authentication don't look back."""
     e = X.eyes(spark, sf_dir)
     top = X.database(e).select("serial").orderBy(F.desc("serial")).limit(LOOKBACK + 1)
-    r = X.bounded(request_table(spark, sf_dir))
-    back = top.join(r.where(~F.col("request_type").isin("reauth", "reset_check", "recovery_check")).select("req"))
+    r = request_table(spark, sf_dir)
+    back = r.where(~F.col("request_type").isin("reauth", "reset_check", "recovery_check")).select("req").crossJoin(F.broadcast(top))  # N + 1 rows
     rule = r.where("req % 20 = 1").select("req", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5)).cast("array<bigint>")).alias("serial"))
-    ids = X.bounded(back.select("req", "serial").union(rule).distinct(), 1_000_000)
-    pairs = M.both_eyes(spark, sf_dir).join(ids, ["req", "serial"])
+    pairs = named_pairs(spark, sf_dir, back.union(rule).distinct())
     return pairs.select("req", "serial", (M.is_close("l") | M.is_close("r")).alias("is_match"))
 
 
