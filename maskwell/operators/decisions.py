@@ -187,5 +187,11 @@ def insertion_list(spark, sf_dir):
 @query("partial_count_rule", f"{WITH}, n AS (SELECT req, count(*) FILTER (close_l) AS l, count(*) FILTER (close_r) AS r, count(*) FILTER (close_l AND close_r) AS b FROM wide GROUP BY req) SELECT req, l AS left_n, r AS right_n, b = 0 AND l <= 25 AND r <= 25 AS is_unique FROM n")
 def partial_count_rule(spark, sf_dir):
     """Unique only without a full match and with few partial ones in either eye."""
-    rows = M.both_eyes(spark, sf_dir).groupBy("req").agg(F.count_if(M.is_close("l")).alias("left_n"), F.count_if(M.is_close("r")).alias("right_n"), F.count_if(M.is_close("l") & M.is_close("r")).alias("b"))
+
+    def partial(q, d, at):
+        left, right = (s.close(D.STRICT) for s in M.both_sides(q, d, at))
+        return [left, right, left & right]
+
+    n = B.compared(*M.sides(spark, sf_dir), B.counts(partial, some=True), "req bigint, l bigint, r bigint, b bigint")
+    rows = n.groupBy("req").agg(F.sum("l").alias("left_n"), F.sum("r").alias("right_n"), F.sum("b").alias("b"))
     return rows.select("req", "left_n", "right_n", ((F.col("b") == 0) & (F.col("left_n") <= 25) & (F.col("right_n") <= 25)).alias("is_unique"))
