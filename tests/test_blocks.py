@@ -11,7 +11,7 @@ from tests.oracle import difference
 
 SF = "/root/testdata/sf0.001"
 NAMES = """
-ann_recall argmin furthest insertion_list int4_dot_top1 layer_ideal luc_lookback min_rotation_fhd min_rotation_nhd mirror_attack partial_count_rule index_search
+ann_recall argmin furthest insertion_list int4_dot_top1 layer_ideal luc_lookback min_rotation_fhd min_rotation_nhd mirror_attack partial_count_rule index_search knn_exact
 """.split()
 
 
