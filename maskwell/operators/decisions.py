@@ -97,7 +97,16 @@ def merged_results(spark, sf_dir):
 @query("saturation", f"WITH {M.ROTATED}, n AS (SELECT req, rot, count(*) AS n FROM rpairs WHERE eye = 'L' AND md > 0 AND hd < md * 0.345::DOUBLE GROUP BY ALL) SELECT req, max(n) AS most, bool_or(n + {MARGIN} >= {EF}) AS saturated FROM n GROUP BY req")
 def saturation(spark, sf_dir):
     """Whether a search fills its candidate list in any rotation, so that matches may be missing."""
-    n = M.rotated_pairs(spark, sf_dir).where((F.col("eye") == "L") & D.close(F.col("hd"), F.col("md"))).groupBy("req", "rot").agg(F.count(F.lit(1)).alias("n"))
+
+    def kernel(q, d):
+        import numpy as np
+
+        for k, turned in enumerate(B.rotations(q, M.REACH, ("",))):
+            for req, n in B.counts(lambda q, d, at: [B.Side(q, d, at).close(D.STRICT)])(turned, d):
+                yield [req[n > 0], np.full((n > 0).sum(), k), n[n > 0]]
+
+    found = B.compared(*M.left_sides(spark, sf_dir), kernel, "req bigint, rot int, n bigint")
+    n = found.groupBy("req", "rot").agg(F.sum("n").alias("n"))
     return n.groupBy("req").agg(F.max("n").alias("most"), F.bool_or(F.col("n") + MARGIN >= EF).alias("saturated"))
 
 

@@ -129,15 +129,6 @@ def min_rotation(spark, sf_dir, order: str) -> DataFrame:
     return one_row(rows, spark, sf_dir, lambda r: r.groupBy("req", "serial", "eye").agg(best).select("req", "serial", "eye", "best.hd", "best.md", "best.rot"))
 
 
-def rotated_pairs(spark, sf_dir, reach: int = 3) -> DataFrame:
-    """Distances over rotations of the query side only; the database is never rotated."""
-    c = X.codes(spark, sf_dir)
-    q = X.requests(c).withColumn("rot", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    q = X.bounded(q.select("req", F.col("eye").alias("q_eye"), "rot", D.rotated(F.col("code"), F.col("rot")).alias("q_code"), D.rotated(F.col("mask"), F.col("rot")).alias("q_mask")))
-    hd, md = D.hd_md(F.col("q_code"), F.col("q_mask"), F.col("code"), F.col("mask"))
-    return X.database(c).join(q, F.col("eye") == F.col("q_eye")).select("req", "serial", "eye", "rot", hd.alias("hd"), md.alias("md"))
-
-
 _R32 = "((({c} << ((rot + 32) % 32)::INT) | ({c} >> ((32 - (rot + 32) % 32) % 64)::INT)) & 4294967295)"
 ROTATED = f"""{X.CODES}, rq AS (SELECT req, eye, rot, {_R32.format(c="code")} AS code, {_R32.format(c="mask")} AS mask FROM q, (SELECT unnest(range(-3, 4)) AS rot)),
   rpairs AS (SELECT req, serial, rq.eye, rot, bit_count(xor(rq.code, d.code) & rq.mask & d.mask)::BIGINT AS hd, bit_count(rq.mask & d.mask)::BIGINT AS md FROM rq JOIN d ON rq.eye = d.eye)"""
