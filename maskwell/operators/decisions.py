@@ -53,7 +53,7 @@ def named_pairs(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
 @query("reauth_rule", f"{WITH} SELECT r.req, t AS target, r.req % 3 = 0 AS or_rule, CASE WHEN r.req % 3 = 0 THEN close_l OR close_r ELSE close_l AND close_r END AS success FROM (SELECT *, req + 1 AS t FROM requests WHERE request_type = 'reauth') r JOIN wide w ON w.req = r.req AND w.serial = t")
 def reauth_rule(spark, sf_dir):
     r = request_table(spark, sf_dir).where("request_type = 'reauth'").select("req", (F.col("req") + 1).alias("serial"))
-    rows = M.both_eyes(spark, sf_dir).join(X.bounded(r), ["req", "serial"])
+    rows = named_pairs(spark, sf_dir, r)
     either = F.col("req") % 3 == 0
     return rows.select("req", F.col("serial").alias("target"), either.alias("or_rule"), F.when(either, M.is_close("l") | M.is_close("r")).otherwise(M.is_close("l") & M.is_close("r")).alias("success"))
 
