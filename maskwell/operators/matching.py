@@ -212,8 +212,14 @@ def match_both_and(spark, sf_dir):
 @query("match_or_policy", f"{WITH} SELECT req, serial, close_l, close_r, req % 20 = 1 AS use_or FROM wide WHERE CASE WHEN req % 20 = 1 THEN close_l OR close_r ELSE close_l AND close_r END")
 def match_or_policy(spark, sf_dir):
     """Some requests ask for either eye, the others for both."""
-    rows = both_eyes(spark, sf_dir).select("req", "serial", is_close("l").alias("close_l"), is_close("r").alias("close_r"), (F.col("req") % 20 == 1).alias("use_or"))
-    return rows.where(F.when(F.col("use_or"), F.col("close_l") | F.col("close_r")).otherwise(F.col("close_l") & F.col("close_r")))
+
+    def chosen(q, d, at):
+        left, right = (s.close(D.STRICT) for s in both_sides(q, d, at))
+        either = q["id"][at, None] % 20 == 1
+        return (left & right) | (either & (left | right)), left, right
+
+    rows = B.compared(*sides(spark, sf_dir), B.matches(chosen), "req bigint, serial bigint, close_l boolean, close_r boolean")
+    return rows.withColumn("use_or", F.col("req") % 20 == 1)
 
 
 @query("prefilter_then_strict", f"{WITH} SELECT req, serial, hd_l, md_l, close_l AND close_r AS strict FROM wide WHERE md_l > 0 AND hd_l < md_l * 0.375::DOUBLE")
