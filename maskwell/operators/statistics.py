@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import distance as D
 from ..registry import query
 from ..sources import fixtures as X
@@ -45,8 +46,18 @@ def hist_job_gate(spark, sf_dir):
 @query("distance_bundles", f"WITH {X.CODES} SELECT req * 4294967296 + serial AS match_id, list(hd ORDER BY eye) AS distances FROM pairs WHERE md > 0 AND hd < md * 0.345::DOUBLE GROUP BY ALL")
 def distance_bundles(spark, sf_dir):
     """The distances of a query and a row together, under one id."""
-    p = M.eye_pairs(spark, sf_dir).where(D.close(F.col("hd"), F.col("md")))
-    return p.groupBy((F.col("req") * F.lit(1 << 32) + F.col("serial")).alias("match_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("eye", "hd"))), lambda x: x["hd"]).alias("distances"))
+
+    def bundled(q, d, at):
+        import numpy as np
+
+        pair = M.both_sides(q, d, at)
+        close = np.stack([s.close(D.STRICT).ravel() for s in pair], axis=1)
+        hd = np.stack([s.hd.ravel() for s in pair], axis=1)
+        return close.any(axis=1), lambda part: B.lists(close[part], hd[part].astype(np.int64))
+
+    rows = B.compared(*M.sides(spark, sf_dir), B.matches(bundled), "req bigint, serial bigint, distances array<bigint>")
+    rows = rows.select((F.col("req") * F.lit(1 << 32) + F.col("serial")).alias("match_id"), "distances")
+    return M.one_row(rows, spark, sf_dir, lambda r: M.eye_pairs(spark, sf_dir, lambda s: s.close(D.STRICT)).groupBy((F.col("req") * F.lit(1 << 32) + F.col("serial")).alias("match_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("eye", "hd"))), lambda x: x["hd"]).alias("distances")))
 
 
 def trials(spark, sf_dir) -> DataFrame:
