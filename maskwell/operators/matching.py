@@ -231,7 +231,7 @@ def prefilter_then_strict(spark, sf_dir):
 @query("one_eye_recheck", f"{WITH} SELECT req, serial, close_l, close_r, CASE WHEN close_l THEN hd_r ELSE hd_l END AS other_hd FROM wide WHERE close_l <> close_r")
 def one_eye_recheck(spark, sf_dir):
     """Hits of one eye only, with the other eye's distance that the re-check asks for."""
-    rows = both_eyes(spark, sf_dir).withColumns({"close_l": is_close("l"), "close_r": is_close("r")}).where("close_l <> close_r")
+    rows = both_eyes(spark, sf_dir, lambda left, right: left.close(D.STRICT) != right.close(D.STRICT)).withColumns({"close_l": is_close("l"), "close_r": is_close("r")})
     return rows.select("req", "serial", "close_l", "close_r", F.when(F.col("close_l"), F.col("hd_r")).otherwise(F.col("hd_l")).alias("other_hd"))
 
 
