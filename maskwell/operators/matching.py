@@ -225,7 +225,7 @@ def match_or_policy(spark, sf_dir):
 @query("prefilter_then_strict", f"{WITH} SELECT req, serial, hd_l, md_l, close_l AND close_r AS strict FROM wide WHERE md_l > 0 AND hd_l < md_l * 0.375::DOUBLE")
 def prefilter_then_strict(spark, sf_dir):
     """The loose threshold on one eye first; the strict one, on both, only for what is left."""
-    return both_eyes(spark, sf_dir).where(is_close("l", D.LOOSE)).select("req", "serial", "hd_l", "md_l", (is_close("l") & is_close("r")).alias("strict"))
+    return both_eyes(spark, sf_dir, lambda left, right: left.close(D.LOOSE)).select("req", "serial", "hd_l", "md_l", (is_close("l") & is_close("r")).alias("strict"))
 
 
 @query("one_eye_recheck", f"{WITH} SELECT req, serial, close_l, close_r, CASE WHEN close_l THEN hd_r ELSE hd_l END AS other_hd FROM wide WHERE close_l <> close_r")
