@@ -201,7 +201,8 @@ def int4_dot_top1(spark, sf_dir):
 
 @query("match_one_eye", f"{WITH} SELECT req, serial, hd_l AS hd, md_l AS md FROM wide WHERE close_l")
 def match_one_eye(spark, sf_dir):
-    return both_eyes(spark, sf_dir).where(is_close("l")).select("req", "serial", F.col("hd_l").alias("hd"), F.col("md_l").alias("md"))
+    kernel = B.matches(lambda q, d, at: ((s := B.Side(q, d, at)).close(D.STRICT), s.hd, s.md))
+    return B.compared(*left_sides(spark, sf_dir), kernel, "req bigint, serial bigint, hd bigint, md bigint")
 
 
 @query("match_both_and", f"{WITH} SELECT req, min(serial) AS first_match, count(*) AS n_matches FROM wide WHERE close_l AND close_r GROUP BY req")
