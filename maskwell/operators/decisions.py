@@ -90,7 +90,7 @@ def mirror_attack(spark, sf_dir):
 @query("merged_results", f"{WITH}, m AS (SELECT req, min(serial) - 1 AS first, list(serial - 1 ORDER BY serial) AS ids FROM wide WHERE close_l AND close_r GROUP BY req) SELECT r.req, coalesce(first, {NO_MATCH})::BIGINT AS merged, coalesce(ids, []) AS match_ids FROM requests r LEFT JOIN m USING (req)")
 def merged_results(spark, sf_dir):
     """The first match, 0-based, or the largest 32-bit number; and the sorted list of matches."""
-    hits = M.both_eyes(spark, sf_dir).where(M.is_close("l") & M.is_close("r")).groupBy("req").agg(F.min(F.col("serial") - 1).alias("first"), F.sort_array(F.collect_set(F.col("serial") - 1)).alias("ids"))
+    hits = M.both_eyes(spark, sf_dir, M.both_match).groupBy("req").agg(F.min(F.col("serial") - 1).alias("first"), F.sort_array(F.collect_set(F.col("serial") - 1)).alias("ids"))
     return request_table(spark, sf_dir).select("req").join(hits, "req", "left").select("req", F.coalesce("first", F.lit(NO_MATCH)).cast("long").alias("merged"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("match_ids"))
 
 
@@ -136,7 +136,7 @@ def decide(requests: DataFrame) -> DataFrame:
 
 def decision_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = request_table(spark, sf_dir)
-    hits = M.both_eyes(spark, sf_dir).where(M.is_close("l", 0.3) & M.is_close("r", 0.3)).select("req").distinct().withColumn("has_match", F.lit(True))
+    hits = M.both_eyes(spark, sf_dir, lambda left, right: M.both_match(left, right, 0.3)).select("req").distinct().withColumn("has_match", F.lit(True))
     near = M.intra_batch_pairs(spark, sf_dir).where("left_match AND right_match")
     place = r.select("req", "batch", "pos")
     near = near.join(place.toDF("later", "batch", "pos"), "later").join(place.toDF("earlier", "e_batch", "e_pos"), "earlier").where("batch = e_batch").groupBy(F.col("later").alias("req")).agg(F.collect_list("e_pos").alias("earlier"))
