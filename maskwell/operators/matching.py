@@ -207,7 +207,7 @@ def match_one_eye(spark, sf_dir):
 
 @query("match_both_and", f"{WITH} SELECT req, min(serial) AS first_match, count(*) AS n_matches FROM wide WHERE close_l AND close_r GROUP BY req")
 def match_both_and(spark, sf_dir):
-    return both_eyes(spark, sf_dir).where(is_close("l") & is_close("r")).groupBy("req").agg(F.min("serial").alias("first_match"), F.count(F.lit(1)).alias("n_matches"))
+    return both_eyes(spark, sf_dir, both_match).groupBy("req").agg(F.min("serial").alias("first_match"), F.count(F.lit(1)).alias("n_matches"))
 
 
 @query("match_or_policy", f"{WITH} SELECT req, serial, close_l, close_r, req % 20 = 1 AS use_or FROM wide WHERE CASE WHEN req % 20 = 1 THEN close_l OR close_r ELSE close_l AND close_r END")
@@ -239,11 +239,14 @@ def one_eye_recheck(spark, sf_dir):
 @query("intra_batch_pairs", f"WITH {X.CODES} SELECT a.req AS later, b.req AS earlier, bool_or(a.eye = 'L' AND c) AS left_match, bool_or(a.eye = 'R' AND c) AS right_match FROM (SELECT a.req, a.eye, b.req AS r2, bit_count(a.mask & b.mask) > 0 AND bit_count(xor(a.code, b.code) & a.mask & b.mask) < bit_count(a.mask & b.mask) * 0.345::DOUBLE AS c FROM q a JOIN q b ON a.eye = b.eye AND a.req > b.req) a JOIN (SELECT DISTINCT req FROM q) b ON a.r2 = b.req GROUP BY ALL HAVING bool_or(c)")
 def intra_batch_pairs(spark, sf_dir):
     """Pairs within a batch, the later request against the earlier one."""
-    q = X.requests(X.codes(spark, sf_dir))
-    earlier = X.bounded(q.select(F.col("req").alias("earlier"), F.col("eye").alias("e_eye"), F.col("code").alias("e_code"), F.col("mask").alias("e_mask")))
-    hd, md = D.hd_md(F.col("code"), F.col("mask"), F.col("e_code"), F.col("e_mask"))
-    hits = q.join(earlier, (F.col("eye") == F.col("e_eye")) & (F.col("req") > F.col("earlier"))).where(D.close(hd, md))
-    return hits.groupBy(F.col("req").alias("later"), "earlier").agg(F.bool_or(F.col("eye") == "L").alias("left_match"), F.bool_or(F.col("eye") == "R").alias("right_match"))
+
+    def matched(q, d, at):
+        left, right = (s.close(D.STRICT) for s in both_sides(q, d, at))
+        return (left | right) & (q["id"][at, None] > d["id"]), left, right
+
+    q = sides(spark, sf_dir)[0]
+    hits = B.compared(q, q, B.matches(matched), "later bigint, earlier bigint, left_match boolean, right_match boolean")
+    return hits if B.unique(q.select("req"), "req") else hits.groupBy("later", "earlier").agg(F.bool_or("left_match").alias("left_match"), F.bool_or("right_match").alias("right_match"))
 
 
 def nearest(spark, sf_dir, k: int, down: bool = False) -> DataFrame:
