@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
@@ -281,12 +281,26 @@ def furthest(spark, sf_dir):
 
 @query("topk_truncated_with_count", f"{WITH} SELECT req, count(*) AS n_matches, list(serial ORDER BY serial)[1:4] AS partial FROM wide WHERE close_l GROUP BY req")
 def topk_truncated_with_count(spark, sf_dir):
-    """The count of all matches beside a list of the first few."""
-    hits = match_one_eye(spark, sf_dir).select("req", "serial")
-    first = hits.withColumn("k", F.row_number().over(Window.partitionBy("req").orderBy("serial"))).where("k <= 4").groupBy("req").agg(F.sort_array(F.collect_list("serial")).alias("partial"))
-    return hits.groupBy("req").agg(F.count(F.lit(1)).alias("n_matches")).join(first, "req")
+    """The count of all matches beside a list of the first few; a block gives its count and its own first few."""
+
+    def kernel(q, d):
+        import numpy as np
+
+        for at in B.strips(q, d) if len(d["id"]) else ():
+            close = B.Side(q, d, at).close(D.STRICT)
+            first = [np.flatnonzero(row)[:4] for row in close]
+            some = np.array([len(x) > 0 for x in first])
+            marked = np.arange(4) < np.array([len(x) for x in first])[:, None]
+            places = np.zeros((len(first), 4), np.int64)
+            places[marked] = np.concatenate(first)
+            yield [q["id"][at][some], np.count_nonzero(close, axis=1)[some], B.lists(marked[some], d["id"][places[some]])]
+
+    found = B.compared(*left_sides(spark, sf_dir), kernel, "req bigint, n bigint, first array<bigint>")
+    return found.groupBy("req").agg(F.sum("n").alias("n_matches"), F.slice(F.sort_array(F.flatten(F.collect_list("first"))), 1, 4).alias("partial"))
 
 
 @query("match_counters", f"WITH {X.CODES} SELECT req, eye, count(*) AS n FROM pairs WHERE md > 0 AND hd < md * 0.345::DOUBLE GROUP BY ALL")
 def match_counters(spark, sf_dir):
-    return eye_pairs(spark, sf_dir).where(D.close(F.col("hd"), F.col("md"))).groupBy("req", "eye").agg(F.count(F.lit(1)).alias("n"))
+    n = B.compared(*sides(spark, sf_dir), B.counts(lambda q, d, at: [s.close(D.STRICT) for s in both_sides(q, d, at)]), "req bigint, l bigint, r bigint")
+    each = n.groupBy("req").agg(F.sum("l").alias("L"), F.sum("r").alias("R"))
+    return each.unpivot("req", ["L", "R"], "eye", "n").where("n > 0")

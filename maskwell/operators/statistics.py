@@ -25,13 +25,25 @@ _B = f"floor({BUCKETS} * ({{x}}) / 0.375::DOUBLE + 1)::BIGINT"
 @query("hist_1d", f"WITH {X.CODES} SELECT eye, {_B.format(x='hd::DOUBLE / md')} AS bucket, count(*) AS n FROM pairs WHERE md > 0 AND hd < md * 0.375::DOUBLE GROUP BY ALL")
 def hist_1d(spark, sf_dir):
     """How many distances of each eye fall in each bucket; distances are counted where they are made."""
-    p = M.eye_pairs(spark, sf_dir).where(D.close(F.col("hd"), F.col("md"), D.LOOSE))
-    return p.groupBy("eye", bucket(D.fhd(F.col("hd"), F.col("md"))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+    def kernel(q, d):
+        import numpy as np
+
+        n = {eye: np.zeros(B.WIDTH * B.WIDTH, np.int64) for eye, _ in M.EYES}
+        for at in B.strips(q, d):
+            for (eye, _), s in zip(M.EYES, M.both_sides(q, d, at)):
+                n[eye] += np.bincount(s.place()[s.close(D.LOOSE)], minlength=B.WIDTH * B.WIDTH)
+        for eye, each in n.items():
+            md, hd = np.divmod(np.flatnonzero(each), B.WIDTH)
+            yield [B.said(eye, len(hd)), hd, md, each[each > 0]]
+
+    p = B.compared(*M.sides(spark, sf_dir), kernel, "eye string, hd bigint, md bigint, n bigint")
+    return p.groupBy("eye", bucket(D.fhd(F.col("hd"), F.col("md"))).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 @query("hist_2d", f"{M.WITH} SELECT {_B.format(x='hd_l::DOUBLE / md_l')} AS left_bucket, {_B.format(x='hd_r::DOUBLE / md_r')} AS right_bucket, count(*) AS n FROM wide WHERE md_l > 0 AND md_r > 0 AND hd_l < md_l * 0.375::DOUBLE AND hd_r < md_r * 0.375::DOUBLE GROUP BY ALL")
 def hist_2d(spark, sf_dir):
-    p = M.both_eyes(spark, sf_dir).where(M.is_close("l", D.LOOSE) & M.is_close("r", D.LOOSE))
+    p = M.both_eyes(spark, sf_dir, lambda left, right: M.both_match(left, right, D.LOOSE))
     b = lambda s: bucket(D.fhd(F.col(f"hd_{s}"), F.col(f"md_{s}")))
     return p.groupBy(b("l").alias("left_bucket"), b("r").alias("right_bucket")).agg(F.count(F.lit(1)).alias("n"))
 
