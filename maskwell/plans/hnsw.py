@@ -165,8 +165,7 @@ def hnsw_search(spark, sf_dir):
 def identity_update_search(spark, sf_dir):
     """Identity updates look for neighbours with the centre rotation alone, and for no match."""
     codes = left_codes(spark, sf_dir)
-    hits = Graph(X.database(codes), None).distances(X.database(codes).select("serial").crossJoin(X.bounded(X.requests(codes).where("req % 30 = 1").select("req"))), X.requests(codes))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("req").orderBy("dist", "serial"))).where("rank <= 4").select("req", "serial", "rank")
+    return B.k_nearest(X.requests(codes).where("req % 30 = 1"), X.database(codes), 4).select("req", "serial", "rank")
 
 
 @query("match_inclusive", f"WITH {X.CODES} SELECT req, serial, eye FROM pairs WHERE 1000 * hd <= 345 * md")
@@ -174,4 +173,4 @@ def match_inclusive(spark, sf_dir):
     """The secret-shared rule keeps what is not greater than the threshold, in whole numbers, equality and empty masks included."""
     from ..operators.matching import eye_pairs
 
-    return eye_pairs(spark, sf_dir).where(1000 * F.col("hd") <= 345 * F.col("md")).select("req", "serial", "eye")
+    return eye_pairs(spark, sf_dir, lambda s: 1000 * s.hd.astype("int32") <= 345 * s.md.astype("int32")).select("req", "serial", "eye")

@@ -11,7 +11,7 @@ from tests.oracle import difference
 
 SF = "/root/testdata/sf0.001"
 NAMES = """
-ann_recall argmin furthest insertion_list int4_dot_top1 layer_ideal luc_lookback min_rotation_fhd min_rotation_nhd mirror_attack partial_count_rule index_search knn_exact knn_truncated matched_rotations saturation reauth_rule fhd_pairs nhd_pairs dot_pairs match_or_policy distance_bundles one_eye_recheck prefilter_then_strict match_one_eye merged_results match_both_and topk_truncated_with_count
+ann_recall argmin furthest insertion_list int4_dot_top1 layer_ideal luc_lookback min_rotation_fhd min_rotation_nhd mirror_attack partial_count_rule index_search knn_exact knn_truncated matched_rotations saturation reauth_rule fhd_pairs nhd_pairs dot_pairs match_or_policy distance_bundles one_eye_recheck prefilter_then_strict match_one_eye merged_results match_both_and topk_truncated_with_count identity_update_search
 """.split()
 
 
