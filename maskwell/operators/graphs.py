@@ -336,24 +336,75 @@ def apply_mutations(wal: DataFrame) -> DataFrame:
     steps = edits.unionByName(back).unionByName(nodes_too, allowMissingColumns=True)
     parts = steps.select("eye", "src", "seq_no", F.col("op").isin("add_edges", "remove_edges").alias("edit"), "pos", "at", "op", "layer", F.col("refs.node").alias("nodes"), F.transform("refs.stale", lambda z: F.coalesce(z, F.lit(1 << 62))).alias("stales"))
 
-    def fold(rows):
-        import pandas as pd
-
-        lists: dict[int, list] = {}  # layer -> [stamp, (target, stale from)]
-        rows = rows.sort_values(["seq_no", "edit", "pos", "at"])
-        for seq, op, layer, nodes, stales in zip(rows["seq_no"], rows["op"], rows["layer"], rows["nodes"], rows["stales"]):
+    order = ["eye", "src", "seq_no", "edit", "pos", "at"]
+    return parts.repartition("eye", "src").sortWithinPartitions(*order).mapInArrow(fold_sorted, "eye string, layer long, src long, dst long, nbhd_seq long")
+
+
+class Neighbours:
+    """A neighbour list under edits. A link is stale if an edit after its own comes at its time or later; such links go in bulk."""
+
+    def __init__(self, stamp: int):
+        self.stamp, self.edits, self.added, self.least = stamp, 0, 0, 64
+        self.to: dict[int, list] = {}  # target -> (stale from, edit)
+
+    def edit(self, seq: int, remove: bool, nodes: list, stales: list) -> None:
+        self.stamp, self.edits = seq, self.edits + 1
+        if remove:
+            for z in nodes:
+                self.to.pop(z, None)
+            return
+        for z, stale in zip(nodes, stales):
+            self.to.setdefault(z, []).append((stale, self.edits))
+        self.added += len(nodes)
+        if self.added > self.least:
+            kept = {z: left for z, links in self.to.items() if (left := [x for x in links if self.holds(x)])}
+            self.to, self.added, self.least = kept, 0, max(64, sum(map(len, kept.values())))
+
+    def holds(self, link: tuple) -> bool:
+        return link[0] > self.stamp or link[1] == self.edits
+
+    def targets(self) -> list:
+        return [z for z, links in self.to.items() for x in links if self.holds(x)]
+
+
+def fold_sorted(batches):
+    """Fold steps in order of eye and node, one node's lists in memory at a time."""
+    import pyarrow as pa
+
+    def made(out: list):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k else pa.string()) for k, x in enumerate(out)], names=["eye", "layer", "src", "dst", "nbhd_seq"])
+
+    key, lists = None, {}  # layer -> Neighbours
+    out: list[list] = [[], [], [], [], []]
+
+    def close():
+        for layer, held in lists.items():
+            to = held.targets()
+            for column, x in zip(out, (key[0], layer, key[1], None, held.stamp)):
+                column.extend(to if x is None else [x] * len(to))
+        lists.clear()
+
+    for b in batches:
+        column = {n: b.column(n) for n in b.schema.names}
+        ends = column["nodes"].value_lengths().fill_null(0).to_pylist()
+        nodes, stales, at = column["nodes"].flatten().to_pylist(), column["stales"].flatten().to_pylist(), 0
+        for eye, src, seq, op, layer, n in zip(*[column[c].to_pylist() for c in ("eye", "src", "seq_no", "op", "layer")], ends):
+            if (eye, src) != key:
+                close()
+                key = (eye, src)
+                if len(out[0]) >= 50_000:
+                    yield made(out)
+                    for x in out:
+                        x.clear()
             if op == "remove_node":
                 lists.clear()
             elif op == "add_node":
-                lists.update({k: [seq, []] for k in range(int(layer) + 1)})
+                lists.update({k: Neighbours(seq) for k in range(layer + 1)})
             elif layer in lists:
-                kept = [x for x in lists[layer][1] if x[1] > seq]
-                gone = set(nodes) if op == "remove_edges" else ()
-                lists[layer] = [seq, [x for x in kept if x[0] not in gone] if gone else kept + list(zip(nodes, stales))]
-        out = [(rows["eye"].iloc[0], layer, rows["src"].iloc[0], z, stamp) for layer, (stamp, to) in lists.items() for z, _ in to]
-        return pd.DataFrame(out, columns=["eye", "layer", "src", "dst", "nbhd_seq"])
-
-    return parts.groupBy("eye", "src").applyInPandas(fold, "eye string, layer long, src long, dst long, nbhd_seq long")
+                lists[layer].edit(seq, op == "remove_edges", nodes[at : at + n], stales[at : at + n])
+            at += n
+    close()
+    yield made(out)
 
 
 @query("wal_apply")

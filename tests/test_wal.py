@@ -86,3 +86,23 @@ def test_all_events_are_replayed(spark):
         ops = ["remove_node"] if seq % 17 == 0 else ["remove_edges"] if seq % 11 == 0 else ["add_node", "add_edges"]
         wal += [(eye, seq, seq - 1, op, base, 0, [(base - j) % 200 for j in range(1, 5)], "all") for eye in "LR" for op in ops]
     assert rows(graphs.wal_apply(spark, folder)) == sequential(wal)
+
+
+def test_nodes_fold_in_one_pass(spark):
+    plan = graphs.wal_apply(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+
+
+def test_long_lists_lose_stale_links():
+    rng = random.Random(2)
+    for _ in range(20):
+        held, plain, seq = graphs.Neighbours(0), [], 0
+        for _ in range(400):
+            seq += rng.choice((0, 1, 1, 3))
+            nodes = [rng.randrange(30) for _ in range(rng.randrange(1, 6))]
+            stales, remove = [seq + rng.choice((0, 1, 5, 50, 1 << 62)) for _ in nodes], rng.random() < 0.1
+            held.edit(seq, remove, nodes, stales)
+            plain = [x for x in plain if x[1] > seq]
+            plain = [x for x in plain if x[0] not in nodes] if remove else plain + list(zip(nodes, stales))
+            assert held.stamp == seq
+        assert Counter(held.targets()) == Counter(z for z, _ in plain)
