@@ -3,10 +3,13 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  importing it registers the queries
 from maskwell.functions import blocks
+from maskwell.plans import hnsw
 from maskwell.registry import QUERIES, SQL
+from maskwell.sources import fixtures as X
 from tests.oracle import difference
 
 SF = "/root/testdata/sf0.001"
@@ -34,6 +37,13 @@ def test_joins_make_no_row_of_each_pair(spark, name):
     assert joined(df._jdf.queryExecution().executedPlan()) < 10_000  # 22,500 pairs of two eyes
 
 
+def test_first_batch_of_a_graph_makes_no_row_of_each_pair(spark):
+    codes = X.database(hnsw.left_codes(spark, SF)).withColumn("layer", F.lit(0).cast("long"))
+    near = hnsw.nearest_in_layers(codes, 0, 12)
+    assert len(near.collect()) == 450 * 12
+    assert joined(near._jdf.queryExecution().executedPlan()) < 10_000  # of 202,050 pairs
+
+
 @pytest.fixture(scope="module")
 def odd(spark, tmp_path_factory):
     """Ids that come twice, rows without a vector, vectors without a bit that is clear of zero, equal vectors."""
